@@ -1,0 +1,42 @@
+"""Connected components of an edge table by alternating large-star and small-star rounds, all in DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from orelode.llm.common import materialize
+
+
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], int(row["s"] or 0)
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``(node, root)`` for every node of ``edges (a, b)``: root is the smallest node that can be reached.
+
+    Self-loops and repeated edges do no harm; an empty table gives an empty result. Each half round is
+    written to the shared folder, so lineage stays short and a lost executor costs one half round. A round
+    moves each edge twice; the number of rounds grows with the logarithm of the longest path.
+    """
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = _mark(now)
+    for _ in range(most_rounds):
+        if not mark[0]:
+            break
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        met = large.join(least, "a")
+        small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now, before = materialize(small, "small-star"), mark
+        mark = _mark(now)
+        if mark == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
