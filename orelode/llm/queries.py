@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import read_table
+from orelode.llm.common import crc_mod, read_table
 
 #: The rules of the url query: host, path, verdict (fixed values of its contract).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -15,12 +15,48 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 SHARD_WEIGHTS = [1.0] * 16
 
 
+#: The vocabulary and the limits of the packing query (fixed values of its contract).
+VOCABULARY, CAPACITY, END_ID = "byte_bpe_50k.json", 1024, 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.langid import identify_languages, train_languages
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    model = train_languages(docs.where(~held).select("doc_id", "text", "lang"))
+    found = identify_languages(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orelode.llm.url_filter import filter_urls
 
     return filter_urls(read_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.quality import judge_quality, train_quality
+
+    docs = read_table(spark, sf_dir, "documents")
+    return judge_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels"))).drop("text_hash")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 3) == 1
+    model = train_toxicity(docs, read_table(spark, sf_dir, "labels").where(~held))
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orelode.llm.sharding import shard_records
 
@@ -28,6 +64,12 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID, emit="ids_crc32")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orelode.llm.simhash import simhash_groups
 
@@ -37,8 +79,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op3_url_filter": op3_url_filter,
+        "op5_quality": op5_quality,
+        "op6_toxicity": op6_toxicity,
         "op8_rendezvous_shards": op8_rendezvous_shards,
+        "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
 
