@@ -35,6 +35,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.html_text import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orelode.llm.url_filter import filter_urls
 
@@ -80,6 +86,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op2_main_text": op2_main_text,
         "op3_url_filter": op3_url_filter,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,

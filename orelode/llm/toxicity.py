@@ -61,7 +61,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(row, term, len(texts)), -30, 30)))
 
 
-def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, width: int = 8, epochs: int = 40, rate: float = 0.05, ridge: float = 1e-3, batch: int = 256, seed: int = 0) -> FactorizationMachine:
+def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, width: int = 8, least_steps: int = 2000, least_epochs: int = 20, rate: float = 0.1, ridge: float = 1e-3, batch: int = 256, seed: int = 0) -> FactorizationMachine:
     """Choose the terms, then descend the logistic loss in small batches with steps scaled by past gradients."""
     rng, n = np.random.default_rng(seed), len(y)
     rate_of_ones = float(np.clip(y.mean() if n else 0.1, 1e-3, 1 - 1e-3))
@@ -76,6 +76,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, width: int =
     row, term = row[order], term[order]
     begin = np.searchsorted(row, np.arange(n + 1))
     state = [np.full(1, 1e-6), np.full(len(terms), 1e-6), np.full((len(terms), width), 1e-6)]
+    epochs = max(least_epochs, -(-least_steps // max(1, n // batch)))
     for _ in range(epochs if len(terms) else 0):
         for rows in np.array_split(rng.permutation(n), max(1, n // batch)):
             size = begin[rows + 1] - begin[rows]
