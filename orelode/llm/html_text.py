@@ -43,7 +43,6 @@ _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_WORD = re.compile(r"\w+")
 _ENDS: dict[str, re.Pattern[str]] = {}
 
 GOOD, BAD, UNSURE = "good", "bad", "unsure"
@@ -67,8 +66,8 @@ class Block:
         if self.apart:
             return BAD
         links = self.links / max(1, size)
-        words = _WORD.findall(self.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        words = self.text.lower().split()
+        stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
         if self.inside:
             return GOOD if links <= MOST_LINKS and stops >= LOW_STOPS else UNSURE
         if links > MOST_LINKS or "©" in self.text:

@@ -218,3 +218,18 @@ def judge_quality(docs: DataFrame, model: Trees, threshold: float = 0.5) -> Data
     schema = ", ".join(f"{c} long" for c in COUNTS) + ", doc_id long, base_failed boolean, quality double, kept boolean, text_hash long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
     return rows.mapInPandas(run, schema).select("doc_id", *COUNTS, "base_failed", "quality", "kept", "text_hash")
+
+
+def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) that :func:`judge_quality` keeps, decided where they stand: nothing is shuffled."""
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), dtype=bool)
+        for part in slabs(iter([pd.DataFrame({"text": text, "i": np.arange(len(text))})]), "text"):
+            counts, values = document_statistics(part["text"])
+            failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
+            out[part["i"]] = ~failed & (model.score(values) >= threshold)
+        return pd.Series(out)
+
+    return docs.where(good("text"))

@@ -47,6 +47,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.substring_dedup import drop_repeats
+
+    kept = drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orelode.llm.quality import judge_quality, train_quality
 
@@ -63,6 +70,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orelode.llm.decontaminate import find_passages
+
+    return find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orelode.llm.sharding import shard_records
 
@@ -88,8 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language": op1_language,
         "op2_main_text": op2_main_text,
         "op3_url_filter": op3_url_filter,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
+        "op7_decontamination": op7_decontamination,
         "op8_rendezvous_shards": op8_rendezvous_shards,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,

@@ -95,3 +95,10 @@ def lower_table() -> np.ndarray:
         low = (chr(i).lower() for i in range(0x110000))
         _tables_of["lower"] = np.fromiter((ord(c) if len(c) == 1 else i for i, c in enumerate(low)), dtype=np.uint32, count=0x110000)
     return _tables_of["lower"]
+
+
+def word_character_table() -> np.ndarray:
+    """For each code point whether it is a letter or a numeral."""
+    if "alnum" not in _tables_of:
+        _tables_of["alnum"] = np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _tables_of["alnum"]
