@@ -57,7 +57,7 @@ def predict_ratings(ratings: DataFrame, targets: DataFrame, neighbours: DataFram
     weight = F.sum(F.abs("corr"))
     score = best.groupBy("user", "item").agg(F.when(weight == 0, F.lit(0.0)).otherwise(F.sum(F.col("corr") * F.col("stars")) / weight).alias("weighted"), F.max("n_neighbours").alias("n_neighbours"))
     known = cells.join(item_means(ratings).select("item", "mean"), "item", "left").join(score, ["user", "item"], "left")
-    prediction = F.when(F.col("mean").isNull(), F.lit(unknown_item)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("weighted"))), F.col("mean")))
+    prediction = F.when(F.col("mean").isNull(), F.lit(unknown_item)).when(F.col("weighted").isNull(), F.col("mean")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("weighted"))))
     return known.select("user", "item", prediction.alias("prediction"), F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"))
 
 

@@ -61,7 +61,7 @@ rated AS (SELECT c.user_, c.item, neighbour, corr, t.stars, count(*) OVER (PARTI
   row_number() OVER (PARTITION BY c.user_, c.item ORDER BY corr DESC, neighbour DESC) AS k
   FROM cells c JOIN near USING (item) JOIN train t ON t.user_ = c.user_ AND t.item = neighbour),
 score AS (SELECT user_, item, CASE WHEN sum(abs(corr)) = 0 THEN 0.0 ELSE sum(corr * stars) / sum(abs(corr)) END AS w, max(n_neighbours) AS n_neighbours FROM rated WHERE k <= 30 GROUP BY 1, 2),
-pred AS (SELECT c.user_, c.item, CASE WHEN mean IS NULL THEN 4.0 ELSE coalesce(greatest(0.0, least(5.0, w)), mean) END AS prediction, coalesce(n_neighbours, 0) AS n_neighbours
+pred AS (SELECT c.user_, c.item, CASE WHEN mean IS NULL THEN 4.0 WHEN w IS NULL THEN mean ELSE greatest(0.0, least(5.0, w)) END AS prediction, coalesce(n_neighbours, 0) AS n_neighbours
   FROM cells c LEFT JOIN means USING (item) LEFT JOIN score s ON s.user_ = c.user_ AND s.item = c.item)"""
 _CF = f"WITH {_TRAIN}, {_TEST}, {_cf()}, {_PREDICT}"
 _PROFILES = """ups AS (SELECT user_, avg(stars) AS user_avg, count(*) AS user_n FROM train GROUP BY 1),
