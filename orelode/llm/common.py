@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,40 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words: space and the control characters from tab to carriage return.
-WORD_BREAKS = "\x20\x09-\x0d"
+from orelode.checkpoint import materialize
+
+__all__ = ["bounded_sample", "char_codes", "crc_mod", "materialize", "read_table", "slabs", "text_hash"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where it is unset, a temporary folder serves in local mode (tests); on a cluster that is an error,
-    since executors would not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="orelode-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orelode/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as the empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -79,6 +52,3 @@ def slabs(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_0
         for _, part in frame.groupby(group, sort=False):
             yield part
 
-
-def fnv(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import materialize, slabs, text_hash
-from orelode.llm.components import connected_components
+from orelode.llm.spans import mix
+from orelode.operators.graph import component_roots
 
 SEED = 42
+#: What scrambles the digests of further tables.
+SALT = 0xD6E8FEB86659FD93
 BITS = 64
 #: Members of a bucket that one task compares; a larger bucket is dealt in blocks, each pair of blocks to a task.
 BLOCK = 1 << 17
@@ -23,8 +26,8 @@ BLOCK = 1 << 17
 DIRECT = 2048
 
 
-def fingerprints(texts, words: int) -> np.ndarray:
-    """The 64-bit SimHash of each text (uint64): see :func:`simhash`."""
+def fingerprints(texts, words: int, tables: int = 1) -> np.ndarray:
+    """The 64-bit SimHashes of each text (uint64, a column for each table): see :func:`simhash`."""
     digest, hashes, starts = xxhash.xxh64_intdigest, [], [0]
     for text in texts:
         parts = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
@@ -35,34 +38,41 @@ def fingerprints(texts, words: int) -> np.ndarray:
         elif parts:
             hashes.append(digest(b" ".join(parts), SEED))
         starts.append(len(hashes))
-    starts = np.array(starts)
-    out = np.zeros(len(starts) - 1, dtype=np.uint64)
+    starts, values = np.array(starts), np.array(hashes, dtype=np.uint64)
+    out = np.zeros((len(starts) - 1, tables), dtype=np.uint64)
     sizes = np.diff(starts)
     full = np.nonzero(sizes)[0]
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for t in range(tables if len(full) else 0):
+        own = mix(values ^ np.uint64(t * SALT & (1 << 64) - 1)) if t else values
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        out[full, t] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def _fingerprint_frames(words: int):
+def _names(tables: int) -> list[str]:
+    return ["fp", *(f"fp{t}" for t in range(1, tables))]
+
+
+def _fingerprint_frames(words: int, tables: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slabs(frames, "text"):
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "fp": fingerprints(part["text"], words).view(np.int64)})
+            found = fingerprints(part["text"], words, tables).view(np.int64)
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"]} | {c: found[:, t] for t, c in enumerate(_names(tables))})
 
     return run
 
 
-def simhash(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``fp`` (the fingerprint as a signed long) of every row.
+def simhash(docs: DataFrame, words: int = 4, tables: int = 1) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``fp`` (the fingerprint as a signed long; ``fp1`` ... of further tables) of every row.
 
     A-Z are lower-cased, words are runs between ASCII white space, shingles are ``words`` words (repeats
     count; a shorter text is one shingle of all its words). A bit is 1 if it is set in over half of the
-    shingles' XXH64. A null text, or one without words, has fingerprint 0. Only ``doc_id`` and ``text`` are read.
+    shingles' XXH64; further tables scramble those digests. A null text, or one without words, has fingerprint 0. Only
+    ``doc_id`` and ``text`` are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
-    return rows.mapInPandas(_fingerprint_frames(words), "doc_id long, text_hash long, fp long")
+    return rows.mapInPandas(_fingerprint_frames(words, tables), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _names(tables)))
 
 
 class Segments:
@@ -263,21 +273,34 @@ def near_links(fps: DataFrame, distance: int, parts: int | None = None) -> DataF
     return dealt.mapInArrow(_linker(distance), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, parts: int | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, parts: int | None = None, tables: int = 1) -> DataFrame:
     """``doc_id``, ``text_hash``, ``fp`` and ``component_id`` (the smallest doc_id reachable over links) of every row.
 
     Fingerprints link if they differ in at most ``distance`` bits; equal ones always link, so texts without
-    words (fingerprint 0) do. Rows with a null doc_id get a component like others; it is null if no member has a
-    doc_id. Equal rows give equal rows. An empty table gives an empty result. Only distinct fingerprints are compared,
-    and within a bucket a forest stands for all pairs, so large groups of copies make no more edges than members.
+    words (fingerprint 0) do. With more ``tables``, two texts link if they do in any of that many independent fingerprints: a
+    pair near the distance is found more surely, and no more unrelated pairs than so many times. Rows with a null doc_id get a
+    component like others; it is null if no member has a doc_id. Equal rows give equal rows. An empty table gives an empty result.
+    Only distinct fingerprints are compared, and within a bucket a forest stands for all pairs, so large groups of copies make no
+    more edges than members.
     """
-    table = materialize(simhash(docs, words), "fingerprints")
-    each = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = connected_components(near_links(each, distance, parts))
-    met = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = met.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(met.join(lows, "root").select("fp", "component_id"), "components")
-    return table.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    table = materialize(simhash(docs, words, tables), "fingerprints")
+    names = _names(tables)
+    each = materialize(table.groupBy(*names).agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    met = each
+    for c in names:
+        roots = component_roots(near_links(each.select(F.col(c).alias("fp")), distance, parts), "a", "b").select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        met = met.join(roots, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    root = "root_fp"
+    if tables > 1:  # what a further table joins, it joins in the first one's components
+        met = materialize(met, "roots")
+        joins = None
+        for c in names[1:]:
+            own = met.join(met.groupBy(f"root_{c}").agg(F.min(root).alias("b")), f"root_{c}").select(F.col(root).alias("a"), "b").where("a <> b").distinct()
+            joins = own if joins is None else joins.unionAll(own)
+        met = met.join(component_roots(joins, "a", "b").select(F.col("node").alias(root), "root"), root, "left").withColumn(root, F.coalesce("root", root))
+    lows = met.groupBy(root).agg(F.min("low").alias("component_id"))
+    named = materialize(met.join(lows, root).select(*names, "component_id"), "components")
+    return table.join(named, names).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -15,15 +15,16 @@ from orelode.llm.spans import lower_table, mix, owner, runs, span_digests, white
 #: A unit is told by so many words at least: its own, and if it has fewer, those of the units after it.
 MIN_WORDS = 8
 #: Lines and sentences of more words are also cut after words whose digest is divisible by CUT.
-MOST_WORDS, CUT = 40, 12
+MOST_WORDS, CUT = 16, 8
 
 
 def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, begin, end, digest) of every unit of every text; the offsets count code points in the text.
 
-    A unit ends with a line break, or with the white space after ``.``, ``!`` or ``?``; long ones are cut further, at places
-    that depend on the words alone. The digest covers lower-cased runs of letters and numerals only, so case,
-    white space and punctuation don't matter. A unit without words, or at whose end fewer than ``min_words`` words are left, has none.
+    A line is parted after the white space that follows ``.``, ``!`` or ``?``; long parts are cut further, at places
+    that depend on the words alone. A unit is a part, or, if it has fewer than ``min_words`` words, as many parts as make them
+    up; units may overlap, and one that can't be made up before the text ends is none. The digest covers lower-cased
+    runs of letters and numerals only, so case, white space and punctuation don't matter.
     """
     codes, starts = char_codes(texts)
     wb, we = runs(word_character_table()[codes], starts)
@@ -52,16 +53,16 @@ def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarra
     reach = np.searchsorted(w1, w0 + min_words)
     known = (w1 > w0) & (reach < len(b))
     known[known] &= of[reach[known]] == of[known]
-    of, b, e, w0, last = of[known], b[known], e[known], w0[known], w1[reach[known]]
+    of, b, e, w0, last = of[known], b[known], e[reach[known]], w0[known], w1[reach[known]]
     return of, b - starts[of], e - starts[of], span_digests(words, w0, last)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the spans, which have to be sorted and apart."""
+    """``text`` without the spans, which have to be sorted and may overlap."""
     parts, at = [], 0
     for b, e in spans:
         parts.append(text[at:b])
-        at = e
+        at = max(at, e)
     return "".join([*parts, text[at:]])
 
 
@@ -71,10 +72,10 @@ def _unit_frames(min_words: int):
             of, begin, end, digest = text_units(part["text"], min_words)
             first = np.zeros(len(of), dtype=bool)
             first[np.unique(digest + mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)[1]] = True
-            cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            begin, end, digest = begin.astype(np.int32), end.astype(np.int32), digest.view(np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_hash": part["text_hash"].to_numpy(), "digest": [digest[s] for s in pieces], "begin": [begin[s] for s in pieces], "end": [end[s] for s in pieces], "first": [first[s] for s in pieces]})
+            span, digest, rows = begin << 32 | end, digest.view(np.int64), np.arange(len(part) + 1)
+            own, more = np.searchsorted(of[first], rows), np.searchsorted(of[~first], rows)
+            lists = lambda x, at: [x[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_hash": part["text_hash"].to_numpy(), "digest": lists(digest[first], own), "span": lists(span[first], own), "again": lists(span[~first], more)})
 
     return run
 
@@ -88,13 +89,15 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text", text_hash().alias("text_hash"))
-    packed = materialize(rows.mapInPandas(_unit_frames(min_words), "doc_id long, text_hash long, digest array<long>, begin array<int>, end array<int>, first array<boolean>"), "units")
-    units = packed.select("doc_id", "text_hash", F.explode(F.arrays_zip("digest", "begin", "end", "first")).alias("u")).select("doc_id", "text_hash", "u.*")
-    holders = packed.select("doc_id", F.explode(F.array_distinct("digest")).alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # A span is begin * 2^32 + end: one number to shuffle. ``again`` holds a document's own repeats.
+    packed = materialize(rows.mapInPandas(_unit_frames(min_words), "doc_id long, text_hash long, digest array<long>, span array<long>, again array<long>"), "units")
+    holders = packed.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialize(holders.where("low < high").select("digest", "low"), "shared")
-    elsewhere = units.where("first").join(shared, "digest").where("doc_id > low").select("doc_id", "text_hash", "begin", "end")
-    gone = elsewhere.unionAll(units.where("not first").select("doc_id", "text_hash", "begin", "end"))
-    spans = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    units = packed.select("doc_id", "text_hash", F.explode(F.arrays_zip("digest", "span")).alias("u")).select("doc_id", "text_hash", "u.*")
+    elsewhere = units.join(shared, "digest").where("doc_id > low").select("doc_id", "text_hash", "span")
+    gone = elsewhere.unionAll(packed.select("doc_id", "text_hash", F.explode("again").alias("span")))
+    pairs = F.transform(F.array_sort(F.collect_set("span")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("begin"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("end")))
+    spans = gone.groupBy("doc_id", "text_hash").agg(pairs.alias("spans"))
     return spans.withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
 
 
