@@ -75,7 +75,7 @@ class Block:
         if size < SHORT:
             return BAD if links else UNSURE
         if stops >= HIGH_STOPS:
-            return GOOD if size > LONG or not links else UNSURE
+            return GOOD if size > LONG or links <= MOST_LINKS / 2 else UNSURE
         return UNSURE if stops >= LOW_STOPS else BAD
 
 

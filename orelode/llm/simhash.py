@@ -311,8 +311,8 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     # The fingerprint stands for a component without any doc_id.
     first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(order).alias("k"), F.min_by(F.lit(1), order).alias("one"))
-    kept = materialize(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "kept")
+    kept = materialize(first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "kept")
     again = groups.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    keyed = docs.withColumn("_hash2", text_hash())
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_hash2"] == kept["_hash"]), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "_hash2"]) if again else rows).drop("_hash2")
+    keyed = docs.withColumn("__key", text_hash())
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__hash"]), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "__key"]) if again else rows).drop("__key")

@@ -104,16 +104,17 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with what stays of each ``text``, and ``removed``: the spans that went, as offsets in the original.
 
-    All columns and rows stay; a null text stays null and an empty one empty. Equal rows get equal results.
+    All columns and rows stay (a column called ``removed`` is replaced); a null text stays null and an empty one empty. Equal
+    rows get equal results. Spans may overlap; fewer than ``min_words`` words at a text's end are never a unit.
     """
-    spans = materialize(repeated_units(docs, min_words), "spans").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
-    keyed = docs.withColumn("_key", text_hash())
-    met = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (keyed["_key"] == spans["_hash"]), "left")
+    spans = materialize(repeated_units(docs, min_words), "spans").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__key", text_hash())
+    met = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (keyed["__key"] == spans["__hash"]), "left")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if b is None or t is None else cut_out(t, list(zip(b, e, strict=True))) for t, b, e in zip(text, begins, ends, strict=True)], dtype=object)
 
-    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", F.col("spans.begin"), F.col("spans.end")))
+    kept = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest("text", F.col("__spans.begin"), F.col("__spans.end")))
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    return met.select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce("spans", none).alias("removed"))
+    return met.select(*[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed"], F.coalesce("__spans", none).alias("removed"))
