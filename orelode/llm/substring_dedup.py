@@ -15,7 +15,7 @@ from orelode.llm.spans import lower_table, mix, owner, runs, span_digests, white
 #: A unit is told by so many words at least: its own, and if it has fewer, those of the units after it.
 MIN_WORDS = 8
 #: Lines and sentences of more words are also cut after words whose digest is divisible by CUT.
-MOST_WORDS, CUT = 16, 8
+MOST_WORDS, CUT = 10, 5
 
 
 def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
