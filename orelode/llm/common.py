@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.checkpoint import materialize
 
-__all__ = ["bounded_sample", "char_codes", "crc_mod", "materialize", "read_table", "slabs", "text_hash"]
+__all__ = ["bounded_sample", "char_codes", "crc_mod", "materialize", "read_table", "slabs", "small_batches", "text_hash"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let no more than ``rows`` rows go to a Python worker at once: texts may be long, and a batch is held whole, twice.
+
+    It lowers a setting of the session, as plans are carried out only later; a lower one stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as the empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -42,7 +56,14 @@ def char_codes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def slabs(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on after a task, beside others on its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slabs(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Cut each frame so that a slab holds about ``most_chars`` characters of ``column``, one row at least."""
     for frame in frames:
         if not len(frame):
@@ -51,4 +72,6 @@ def slabs(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_0
         group = np.cumsum(sizes) // most_chars
         for _, part in frame.groupby(group, sort=False):
             yield part
+        del frame
+        release_memory()
 

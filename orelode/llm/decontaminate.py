@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import char_codes, slabs, text_hash
+from orelode.llm.common import char_codes, slabs, small_batches, text_hash
 from orelode.llm.spans import BASE, lower_table, mix, owner, word_character_table
 
 Q = 8
@@ -175,6 +175,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
     numerals, items with under ``LEAST_LETTERS`` of them are left out. Null and empty texts hold nothing, equal
     rows give equal results, rows with a null doc_id keep it. An empty benchmark gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
     schema = "doc_id long, text_hash long, item_id long, begin long, end long, edits int"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -193,6 +194,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text holds no item; see :func:`find_passages`."""
+    small_batches(docs.sparkSession)
     for own in benchmark_blocks(benchmark, edit_share, block_letters):
         docs = docs.where(_holds_none(own)("text"))
     return docs

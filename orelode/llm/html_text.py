@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import slabs
+from orelode.llm.common import slabs, small_batches
 
 #: Frequent function words of four languages (fixed values).
 STOP_WORDS = frozenset(
@@ -204,4 +204,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             text = part["html"].map(main_text, na_action=None)
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": text.str.len().astype("int64")})
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")

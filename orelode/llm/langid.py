@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import char_codes, slabs
+from orelode.llm.common import char_codes, slabs, small_batches
 from orelode.llm.spans import BASE, letter_table, lower_table, mix, per_text
 
 BUCKETS = 1 << 15
@@ -129,6 +129,7 @@ def train_languages(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) ->
     Executors hash the subwords of whole texts, so the driver gets at most ``BUCKETS`` counts of a document.
     Rows with a null lang or text, or without a subword, are left out. A quarter of the rows calibrates.
     """
+    small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -158,9 +159,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slabs(frames, "text", 2_000_000):
+        for part in slabs(frames, "text"):
             lang, score = model.predict(part["text"])
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": lang, "score": score, "accepted": (lang != UNKNOWN) & (score >= model.reject_below)})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, accepted boolean")

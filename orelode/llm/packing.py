@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import materialize, slabs
+from orelode.llm.common import materialize, slabs, small_batches
 from orelode.llm.sharding import number_within
 from orelode.llm.spans import per_text, span_digests, white
 
 CAPACITY = 1024
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers (about 60 bytes each).
-WORD_CACHE = 1_000_000
+WORD_CACHE = 300_000
 
 _FAR_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _FAR_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -161,7 +161,7 @@ def _pieces(path: str, capacity: int, end_id: int, emit: str):
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         tokenizer = _tokenizers[path]
-        for part in slabs(frames, "text", 6_000_000):
+        for part in slabs(frames, "text"):
             ids, starts = tokenizer.encode(part["text"].tolist())
             rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], emit: []}
             for k, doc_id in enumerate(part["doc_id"]):
@@ -190,6 +190,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     if emit not in ("ids", "ids_crc32"):
         raise ValueError(emit)
     kind = "array<long>" if emit == "ids" else "long"
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(_pieces(tokenizer, capacity, end_id, emit), f"doc_id long, piece int, start long, length long, {emit} {kind}")
 

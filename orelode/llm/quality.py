@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import bounded_sample, char_codes, slabs
+from orelode.llm.common import bounded_sample, char_codes, slabs, small_batches, text_hash
 from orelode.llm.spans import letter_table, lower_table, mix, owner, per_text, runs, span_digests, window_digests, word_spans
 
 #: Labelled documents that training may take at most.
@@ -183,6 +183,7 @@ def statistics_frame(docs: DataFrame, features: bool = False) -> DataFrame:
             out = pd.DataFrame(counts, columns=COUNTS).assign(doc_id=part["doc_id"].to_numpy())
             yield out.assign(features=list(values)) if features else out
 
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"{c} long" for c in COUNTS) + ", doc_id long" + ", features array<double>" * features
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
@@ -213,8 +214,7 @@ def judge_quality(docs: DataFrame, model: Trees, threshold: float = 0.5) -> Data
             score = model.score(values)
             yield out.assign(doc_id=part["doc_id"].to_numpy(), base_failed=failed, quality=score, kept=~failed & (score >= threshold), text_hash=part["text_hash"].to_numpy())
 
-    from orelode.llm.common import text_hash
-
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"{c} long" for c in COUNTS) + ", doc_id long, base_failed boolean, quality double, kept boolean, text_hash long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
     return rows.mapInPandas(run, schema).select("doc_id", *COUNTS, "base_failed", "quality", "kept", "text_hash")
@@ -232,4 +232,5 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFram
             out[part["i"]] = ~failed & (model.score(values) >= threshold)
         return pd.Series(out)
 
+    small_batches(docs.sparkSession)
     return docs.where(good("text"))

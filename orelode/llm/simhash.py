@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import materialize, slabs, text_hash
+from orelode.llm.common import materialize, release_memory, slabs, small_batches, text_hash
 from orelode.llm.spans import mix
 from orelode.operators.graph import component_roots
 
@@ -71,6 +71,7 @@ def simhash(docs: DataFrame, words: int = 4, tables: int = 1) -> DataFrame:
     shingles' XXH64; further tables scramble those digests. A null text, or one without words, has fingerprint 0. Only
     ``doc_id`` and ``text`` are read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
     return rows.mapInPandas(_fingerprint_frames(words, tables), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _names(tables)))
 
@@ -194,6 +195,21 @@ def _small_buckets(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, starts
     return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
 
 
+def gather(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows``, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+    del held
+    release_memory()
+
+
 def _linker(distance: int, small: int = 48):
     """For partitions sorted by bucket: star edges with the components of the links of all their buckets."""
 
@@ -217,7 +233,7 @@ def _linker(distance: int, small: int = 48):
                 edges = [_roots(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))]
                 pending = 0
 
-        for batch in batches:
+        for batch in gather(batches):
             key = batch.column(0).to_numpy(zero_copy_only=False)
             fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             probe = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -239,7 +255,7 @@ def _expander(segments: Segments, blocks: dict[int, int]):
     """Fingerprints to bucket entries; a bucket named in ``blocks`` is dealt in that many blocks, each with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gather(batches):
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(every), 50_000):
                 bucket, fp, probe = segments.entries(every[k : k + 50_000])

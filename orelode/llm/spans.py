@@ -10,7 +10,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n + 1:
-        size = max(n + 1, 1 << 20)
+        size = n + n // 4 + 1
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import char_codes, materialize, slabs, text_hash
+from orelode.llm.common import char_codes, materialize, slabs, small_batches, text_hash
 from orelode.llm.spans import lower_table, mix, owner, runs, span_digests, white, word_character_table
 
 #: A unit is told by so many words at least: its own, and if it has fewer, those of the units after it.
@@ -87,6 +87,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows with equal doc_id don't take from each other. Only digests and numbers are shuffled; a digest that a third of all
     documents hold is aggregated before the shuffle, and joined from a written table, so Spark can split it.
     """
+    small_batches(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text", text_hash().alias("text_hash"))
     # A span is begin * 2^32 + end: one number to shuffle. ``again`` holds a document's own repeats.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import bounded_sample, char_codes, slabs
+from orelode.llm.common import bounded_sample, char_codes, slabs, small_batches
 from orelode.llm.spans import letter_table, lower_table, owner, runs, span_digests
 
 BUCKETS = 1 << 18
@@ -105,6 +105,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_RO
 
     Executors hash whole texts; the driver gets each document's distinct buckets, at most ``BUCKETS``.
     """
+    small_batches(docs.sparkSession)
     chosen = bounded_sample(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic"), "doc_id", most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -133,4 +134,5 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: floa
             score = model.score(part["text"].tolist())
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": score, "predicted": (score >= threshold).astype("int32")})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
