@@ -278,7 +278,7 @@ def _expander(segments: Segments, blocks: dict[int, int]):
 def near_links(fps: DataFrame, distance: int, parts: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly what all pairs of distinct fingerprints (column ``fp``) within ``distance`` bits connect."""
     distinct = fps.select("fp").distinct()
-    n = distinct.count() if parts is None else 0
+    n = distinct.count()
     segments = Segments(distance, parts) if parts else Segments.for_count(distance, n)
     entries = distinct.mapInArrow(_expander(segments, {}), "bucket long, fp long, probe boolean")
     # At most (entries / BLOCK) buckets can be that large.
