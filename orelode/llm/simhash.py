@@ -26,8 +26,8 @@ BLOCK = 1 << 17
 DIRECT = 2048
 
 
-def fingerprints(texts, words: int, tables: int = 1) -> np.ndarray:
-    """The 64-bit SimHashes of each text (uint64, a column for each table): see :func:`simhash`."""
+def shingle_digests(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all texts' shingles in one array (uint64), and where each text starts (one more entry: the end)."""
     digest, hashes, starts = xxhash.xxh64_intdigest, [], [0]
     for text in texts:
         parts = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
@@ -38,7 +38,12 @@ def fingerprints(texts, words: int, tables: int = 1) -> np.ndarray:
         elif parts:
             hashes.append(digest(b" ".join(parts), SEED))
         starts.append(len(hashes))
-    starts, values = np.array(starts), np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64), np.array(starts)
+
+
+def fingerprints(texts, words: int, tables: int = 1) -> np.ndarray:
+    """The 64-bit SimHashes of each text (uint64, a column for each table): see :func:`simhash`."""
+    values, starts = shingle_digests(texts, words)
     out = np.zeros((len(starts) - 1, tables), dtype=np.uint64)
     sizes = np.diff(starts)
     full = np.nonzero(sizes)[0]

@@ -209,6 +209,26 @@ def test_more_tables_find_more(docs, prose):
     assert 60 <= four <= 80 and four < one  # about three of four pairs that share 0.8 of their shingles
 
 
+def edited_pairs(prose, edits, n=40):
+    """Texts of 150 words, each followed by a copy with so many words replaced: Jaccard (146 - 5 edits) / (146 + 5 edits)."""
+    texts, rng = [], random.Random(edits)
+    for k in range(n):
+        w = prose(150, 900 + k).split()
+        texts.append(" ".join(w))
+        for j in rng.sample(range(5, 145, 7), edits):
+            w[j] = f"zz{j}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_near_dedup_keeps_what_is_less_similar(spark, docs, prose):
+    import corpus_pipeline
+
+    texts = edited_pairs(prose, 4)  # 0.76
+    kept = corpus_pipeline.near_dedup(spark, docs([*texts, texts[0], None, ""], [*range(80), None, None, 90]), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(80), 90]
+
+
 def test_large_bucket_is_parted():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
