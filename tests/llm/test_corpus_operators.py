@@ -229,6 +229,24 @@ def test_near_dedup_keeps_what_is_less_similar(spark, docs, prose):
     assert sorted(r["doc_id"] for r in kept) == [*range(80), 90]
 
 
+def test_near_dedup_finds_every_pair(spark, docs, prose, monkeypatch):
+    import corpus_pipeline
+    from orelode.llm import jaccard
+
+    texts = edited_pairs(prose, 3)  # 0.81
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(texts), "").collect()) == list(range(0, 80, 2))
+    # chains, and groups and buckets that are dealt in blocks
+    w = prose(150, 999).split()
+    chain = [" ".join([*w[k:], *(f"q{j}" for j in range(k))]) for k in range(0, 120, 8)]
+    copies = [" ".join([*w[:75], f"z{k}", *w[75:]]).upper() for k in range(120)]
+    for block in (1 << 13, 20):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "GROUP_BLOCK", block)
+        found = jaccard.near_groups(docs(chain + copies + texts[:2])).collect()
+        want = brute_classes([{tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in chain + copies + texts[:2]], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+        assert [r["component_id"] for r in sorted(found, key=lambda r: r["doc_id"])] == want
+
+
 def test_large_bucket_is_parted():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
