@@ -14,6 +14,8 @@ from orelode.llm.spans import lower_table, mix, owner, runs, span_digests, white
 
 #: A unit is told by so many words at least: its own, and if it has fewer, those of the units after it.
 MIN_WORDS = 8
+#: A whole line or sentence is a unit of its own from so many words.
+WHOLE_WORDS = 3
 #: Lines and sentences of more words are also cut after words whose digest is divisible by CUT.
 MOST_WORDS, CUT = 10, 5
 
@@ -23,8 +25,10 @@ def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarra
 
     A line is parted after the white space that follows ``.``, ``!`` or ``?``; long parts are cut further, at places
     that depend on the words alone. A unit is a part, or, if it has fewer than ``min_words`` words, as many parts as make them
-    up; units may overlap, and one that can't be made up before the text ends is none. The digest covers lower-cased
-    runs of letters and numerals only, so case, white space and punctuation don't matter.
+    up, and none if the text ends before.
+    Each line and sentence of WHOLE_WORDS or more words is a unit too, whatever follows. Units may overlap, but no two are of
+    the same words in the same place. The digest covers lower-cased runs of letters and numerals only, so case, white space and
+    punctuation don't matter.
     """
     codes, starts = char_codes(texts)
     wb, we = runs(word_character_table()[codes], starts)
@@ -32,29 +36,36 @@ def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarra
     first = np.zeros(len(codes) + 2, dtype=bool)
     blank, stop = white(codes), (codes == 46) | (codes == 33) | (codes == 63)
     first[1:-1] = codes == 10
+    first[starts[:-1]] = True
+    lines = first.copy()
     if len(codes) > 1:
         first[2:-1] |= blank[1:] & stop[:-1]
-    first[starts[:-1]] = True
 
-    def ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ranges(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         b = np.nonzero(first[: len(codes)])[0]
         e = np.append(b[1:], len(codes))[: len(b)]
         return b, e, np.searchsorted(wb, b), np.searchsorted(wb, e)
 
-    b, e, w0, w1 = ranges()
+    units = [[x[w1 - w0 >= WHOLE_WORDS] for x in (b, e, w0, w1)] for b, e, w0, w1 in (ranges(lines), ranges(first))]
+    b, e, w0, w1 = ranges(first)
     long = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(long, w0[w1 - w0 > MOST_WORDS], 1)
     np.add.at(long, w1[w1 - w0 > MOST_WORDS], -1)
     inside = np.cumsum(long)[:-1] > 0
     cut = np.nonzero((words[:-1] % np.uint64(CUT) == 0) & inside[:-1] & inside[1:])[0] + 1 if len(words) else []
     first[wb[cut]] = True
-    b, e, w0, w1 = ranges()
+    b, e, w0, w1 = ranges(first)
     of = owner(starts, b)
     reach = np.searchsorted(w1, w0 + min_words)
     known = (w1 > w0) & (reach < len(b))
     known[known] &= of[reach[known]] == of[known]
-    of, b, e, w0, last = of[known], b[known], e[reach[known]], w0[known], w1[reach[known]]
-    return of, b - starts[of], e - starts[of], span_digests(words, w0, last)
+    units.append([b[known], e[reach[known]], w0[known], w1[reach[known]]])
+    b, e, w0, w1 = (np.concatenate(x) for x in zip(*units, strict=True))
+    one = np.lexsort((-e, b, w1, w0))  # of units of the same words the widest
+    one = one[np.append(True, (np.diff(w0[one]) != 0) | (np.diff(w1[one]) != 0))] if len(one) else one
+    b, e, w0, w1 = b[one], e[one], w0[one], w1[one]
+    of = owner(starts, b)
+    return of, b - starts[of], e - starts[of], span_digests(words, w0, w1)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -94,11 +105,16 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     packed = materialize(rows.mapInPandas(_unit_frames(min_words), "doc_id long, text_hash long, digest array<long>, span array<long>, again array<long>"), "units")
     holders = packed.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialize(holders.where("low < high").select("digest", "low"), "shared")
-    units = packed.select("doc_id", "text_hash", F.explode(F.arrays_zip("digest", "span")).alias("u")).select("doc_id", "text_hash", "u.*")
-    elsewhere = units.join(shared, "digest").where("doc_id > low").select("doc_id", "text_hash", "span")
-    gone = elsewhere.unionAll(packed.select("doc_id", "text_hash", F.explode("again").alias("span")))
+    # Only where a doc_id has several texts does the text's digest travel with each unit.
+    texts = packed.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("text_hash").alias("other"))
+    names = ["doc_id", "text_hash"] if texts.where("text_hash <> other").limit(1).count() else ["doc_id"]
+    units = packed.select(*names, F.explode(F.arrays_zip("digest", "span")).alias("u")).select(*names, "u.*")
+    elsewhere = units.join(shared, "digest").where("doc_id > low").select(*names, "span")
+    gone = elsewhere.unionAll(packed.select(*names, F.explode("again").alias("span")))
     pairs = F.transform(F.array_sort(F.collect_set("span")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("begin"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("end")))
-    spans = gone.groupBy("doc_id", "text_hash").agg(pairs.alias("spans"))
+    spans = gone.groupBy(*names).agg(pairs.alias("spans"))
+    if len(names) == 1:
+        spans = spans.join(texts.select("doc_id", "text_hash"), "doc_id").select("doc_id", "text_hash", "spans")
     return spans.withColumn("doc_id", F.when(F.col("doc_id") < last, F.col("doc_id")))
 
 
@@ -106,7 +122,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with what stays of each ``text``, and ``removed``: the spans that went, as offsets in the original.
 
     All columns and rows stay (a column called ``removed`` is replaced); a null text stays null and an empty one empty. Equal
-    rows get equal results. Spans may overlap; fewer than ``min_words`` words at a text's end are never a unit.
+    rows get equal results. Spans may overlap; fewer than ``min_words`` words at a text's end are a unit only as a whole line or sentence.
     """
     spans = materialize(repeated_units(docs, min_words), "spans").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__key", text_hash())
