@@ -25,7 +25,7 @@ def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarra
 
     A line is parted after the white space that follows ``.``, ``!`` or ``?``; long parts are cut further, at places
     that depend on the words alone. A unit is a part, or, if it has fewer than ``min_words`` words, as many parts as make them
-    up, and none if the text ends before.
+    up; where the text ends before, they are made up by the parts in front, and a text of fewer words is a unit as a whole.
     Each line and sentence of WHOLE_WORDS or more words is a unit too, whatever follows. Units may overlap, but no two are of
     the same words in the same place. The digest covers lower-cased runs of letters and numerals only, so case, white space and
     punctuation don't matter.
@@ -60,6 +60,13 @@ def text_units(texts, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarra
     known = (w1 > w0) & (reach < len(b))
     known[known] &= of[reach[known]] == of[known]
     units.append([b[known], e[reach[known]], w0[known], w1[reach[known]]])
+    # What is left at a text's end goes back to the last part from which there are enough words, or to the text's begin.
+    final = np.nonzero(np.append(of[1:] != of[:-1], True))[0] if len(of) else np.zeros(0, dtype=np.int64)
+    head = np.searchsorted(of, of[final])
+    back = np.maximum(np.searchsorted(w0, w1[final] - min_words, side="right") - 1, head)
+    some = w1[final] > w0[back]
+    final, back = final[some], back[some]
+    units.append([b[back], e[final], w0[back], w1[final]])
     b, e, w0, w1 = (np.concatenate(x) for x in zip(*units, strict=True))
     one = np.lexsort((-e, b, w1, w0))  # of units of the same words the widest
     one = one[np.append(True, (np.diff(w0[one]) != 0) | (np.diff(w1[one]) != 0))] if len(one) else one
@@ -122,7 +129,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with what stays of each ``text``, and ``removed``: the spans that went, as offsets in the original.
 
     All columns and rows stay (a column called ``removed`` is replaced); a null text stays null and an empty one empty. Equal
-    rows get equal results. Spans may overlap; fewer than ``min_words`` words at a text's end are a unit only as a whole line or sentence.
+    rows get equal results. Spans may overlap.
     """
     spans = materialize(repeated_units(docs, min_words), "spans").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__key", text_hash())

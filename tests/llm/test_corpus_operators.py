@@ -289,18 +289,22 @@ def test_repeats_within_a_document_and_against_brute_force(docs, prose, odd_text
         assert found[k]["text"] == (t if t is None else cut_out(t, sorted(gone[k])))
 
 
-@pytest.mark.parametrize("ids", [None, [7] * 4])
-def test_whole_lines_repeat(docs, prose, ids):
+@pytest.mark.parametrize("ids", [None, [7] * 12])
+def test_whole_lines_and_ends_of_texts_repeat(docs, prose, ids):
     short, long = "All rights reserved", "Released under the terms that every one of the many authors of this text has agreed to, see below"
     texts = [f"{prose(20, 2 * k)}\n{short}\n{prose(30, 2 * k + 1)}\n{long}\n{prose(5, 70 + k)}" for k in range(4)]
+    end = prose(26, 90) + "\n" + "So it ended there"
+    texts += [prose(20, 50) + "\n" + end, prose(20, 51) + "\n" + end, "two words", "Two words!", "two words", "other words", "One line that stands alone", "One line that stands alone"]
     out = drop_repeats(docs(texts, ids, at=[str(k) for k in range(len(texts))])).collect()
     found = {int(r["at"]): r for r in out}
     if ids:  # rows with equal doc_id don't take from each other
         assert all(found[k]["text"] == t for k, t in enumerate(texts))
         return
-    assert all(found[k]["text"] == texts[k] for k in (0,))
+    assert all(found[k]["text"] == texts[k] for k in (0, 4, 6, 9, 10))
     for k in (1, 2, 3):
         assert found[k]["text"].strip() == texts[k].replace("\n" + short, "").replace("\n" + long, "").strip()
+    assert found[5]["text"].strip() == texts[5].removesuffix(end).strip()
+    assert all(not found[k]["text"].strip() for k in (7, 8, 11))
 
 
 def sellers(item, text):
