@@ -147,6 +147,22 @@ def test_bins_keep_every_limit(rule):
         plan_bins({101: 1}, 100)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_documents_and_attention_bind(rule):
+    cost = lambda b: [sum(x) for x in zip(*((n * k, k, n * n * k) for n, k in b.content), strict=True)]
+    for histogram, limits, bound in (({50: 7, 20: 40}, {"max_attention": 3000}, 2), ({5: 100}, {"max_docs": 3}, 1), ({40: 11, 4: 90}, {"max_docs": 6, "max_attention": 1700}, 2)):
+        bins, limit = plan_bins(histogram, 100, rule=rule, **limits), [100, limits.get("max_docs", 100), limits.get("max_attention", 10_000)]
+        placed, needs = Counter(), [cost(b) for b in bins]
+        for b, need in zip(bins, needs, strict=True):
+            placed.update({n: k * b.count for n, k in b.content})
+            assert all(x <= y for x, y in zip(need, limit, strict=True))
+        assert placed == histogram
+        # tokens alone would need fewer bins: the limit is what parts them
+        assert sum(b.count for b in bins) > sum(b.count for b in plan_bins(histogram, 100, rule=rule))
+        total = sum((n, 1, n * n)[bound] * c for n, c in histogram.items())
+        assert sum(b.count for b in bins) >= total / limit[bound]
+
+
 def brute_simhash(text, n):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))] if words else []
