@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from orelode.llm import quality as q
+from orelode.llm import html_text as h
 from orelode.llm.html_text import extract_pages, main_text
 from orelode.llm.langid import identify_languages, subwords, train_languages
 from orelode.llm.common import char_codes
@@ -161,3 +163,77 @@ def test_pages_of_all_sorts(spark):
     assert out[7]["text"] == TEXT[: TEXT.index(" near and")] and all(r["n_chars"] == len(r["text"]) for r in out.values())
     assert out[0]["text"] == out[1]["text"] == out[10]["text"] == "" and out[11]["text"].count("Head line") == 50
     assert extract_pages(df.limit(0)).count() == 0
+
+
+WRAPPERS = [
+    '<div class="content with-sidebar"><article>{}</article></div>', '<div class="has-sidebar"><main>{}</main></div>', '<div class="content-with-sidebar">{}</div>',
+    '<div class="comment-free content"><article>{}</article></div>', '<div class="social-layout"><article>{}</article></div>', '<div class="sidebar"><div class="social">{}</div></div>',
+    '<div id="no-banner" class="page widget">{}</div>', '<form><div><article>{}</article></div></form>', "<aside>By the way<article>{}</article>", '<div class="share"><article>{}</article></div>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_keep_the_article(wrapper):
+    assert main_text(PAGE.replace("{main}", wrapper.format(BODY))) == TEXT
+
+
+def test_articles_of_comments_and_sidebars_go():
+    for other in ('<div class="comments"><article>{}</article></div>', '<article class="comment">{}</article>', "<aside><article>{}</article></aside>"):
+        assert main_text(PAGE.replace("{main}", f"<article>{BODY}</article>" + other.format("<p>I think that it was the best of all the things that I have read and we will be back in the morning.</p>"))) == TEXT
+
+
+def test_copyright_sign_and_other_languages():
+    signed = "<p>The photographs in this book are \u00a9 of the families that have kept them, and we are in their debt for the use of all of these pictures in the pages that follow from here.</p>"
+    assert "\u00a9 of the families" in main_text(PAGE.replace("{main}", f"<div>{BODY}{signed}</div>"))
+    finnish = "Talvella j\u00e4rvi j\u00e4\u00e4tyy nopeasti, jolloin kyl\u00e4l\u00e4iset k\u00e4velev\u00e4t suoraan vastarannalle. Vanhat kalastajat muistavat vuodet, jolloin lumi peitti kaikki polut ja hevoset vetiv\u00e4t kuormia mets\u00e4st\u00e4 kotiin asti. Illalla sytytettiin tulet."
+    page = f'<body><nav><a href="/">Etusivu</a></nav><div><h1>Talvi</h1><p>{finnish}</p><p>{finnish}</p></div><div class="comments"><p>{finnish}</p></div><footer>\u00a9 2020</footer></body>'
+    assert main_text(page) == f"Talvi {finnish} {finnish}"
+
+
+def plain_labels(blocks):
+    """The two passes by the letter: every unsure block looks at all others."""
+    long = [b for b in blocks if not b.apart and len(b.text) >= h.SHORT and b.links / len(b.text) <= h.MOST_LINKS]
+    known = sum(len(b.text.split()) for b in long) < h.KNOWN_WORDS or sum(w.lower() in h.STOP_WORDS for b in long for w in b.text.split()) / sum(len(b.text.split()) for b in long) >= h.KNOWN_STOPS
+    own = [b.label(known) for b in blocks]
+    held = lambda b, taken: b.apart or any(m not in taken for m in b.marks)
+    taken = []
+    while len(taken) < h.MOST_PEELS and not any((x == h.GOOD or x == h.UNSURE and b.inside) and not held(b, taken) for b, x in zip(blocks, own)):
+        rest = [(next(m for m in b.marks if m not in taken), len(b.text)) for b, x in zip(blocks, own) if x == h.GOOD and not b.apart]
+        if not rest:
+            break
+        taken.append(min({m for m, _ in rest}, key=lambda m: (-sum(n for k, n in rest if k == m), m)))
+    first = [h.BAD if held(b, taken) else x for b, x in zip(blocks, own)]
+    out = []
+    for i, b in enumerate(blocks):
+        decided = [j for j, c in enumerate(blocks) if first[j] != h.UNSURE and c.inside == b.inside and not (c.inside and held(c, taken))]
+        near = [j for j in (max((j for j in decided if j < i), default=None), min((j for j in decided if j > i), default=None)) if j is not None]
+        if first[i] != h.UNSURE:
+            out.append(first[i])
+        elif not near:
+            out.append(h.GOOD if b.inside else h.BAD)
+        else:
+            ways = sorted({(abs(i - j), first[j] != h.GOOD) for j in near})
+            tie = len(ways) > 1 and ways[0][0] == ways[1][0]
+            out.append(h.GOOD if not ways[0][1] and (not tie or ways[0][0] <= 1) else h.BAD)
+    return out
+
+
+def test_labels_against_plain_passes(prose):
+    rng, many = random.Random(3), " ".join(WORDS["en"])
+    kinds = [lambda: f"<p>{prose(rng.randint(1, 60), rng.random())}</p>", lambda: f"<p>{many[: rng.randint(5, 120)]}</p>", lambda: f"<p><a>{many[:40]}</a> {many[: rng.randint(1, 90)]}</p>", lambda: "<p>\u00a9 x</p>"]
+    wraps = ["{}", "<article>{}</article>", "<div class=comments>{}</div>", "<nav>{}</nav>", "<div class='side'><div class=content>{}</div></div>", "<main>{}</main>", "<div class=ad>{}</div>", "<div class=widget>{}</div>"]
+    for _ in range(400):
+        page = "".join(rng.choice(wraps).format("".join(rng.choice(kinds)() for _ in range(rng.randint(0, 4)))) for _ in range(rng.randint(1, 8)))
+        blocks = h.page_blocks(page)
+        assert h.label_blocks(blocks) == plain_labels(blocks), page
+
+
+@pytest.mark.parametrize("unit", ['<p class="', "<a ", "<article>", "<aside><article>", "<div><nav><article></article>", "</div><p>", "<!--", "<svg>", "<b c='x>\">'", "<div class=ad>", "<!-- -->", "<script>"])
+def test_time_grows_with_the_page(unit):
+    def seconds(n):
+        began = time.process_time()
+        main_text(unit * n)
+        return time.process_time() - began
+
+    small, large = min(seconds(2000) for _ in range(3)), seconds(16000)
+    assert large < 30 * small + 0.5, (small, large)
