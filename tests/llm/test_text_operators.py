@@ -13,7 +13,7 @@ from orelode.llm import html_text as h
 from orelode.llm.html_text import extract_pages, main_text
 from orelode.llm.langid import identify_languages, subwords, train_languages
 from orelode.llm.common import char_codes
-from orelode.llm.toxicity import score_toxicity, train_toxicity, fit_machine
+from orelode.llm.toxicity import BEGINNINGS, FactorizationMachine, best_cut, fit_machine, score_toxicity, term_buckets, train_toxicity
 
 WORDS = {
     "en": "the of and to in that is was for it with as his on be at by had not are but from have they which one you were all her she there would their".split(),
@@ -107,17 +107,59 @@ def test_quality_of_odd_rows(spark, docs, odd_texts, prose):
     assert q.train_quality(docs([]), labels).score(np.zeros((1, len(q.FEATURES)))).shape == (1,)
 
 
+def test_terms_against_plain_loops(odd_texts):
+    texts = [t for t in odd_texts if t is None or len(t) < 20_000] + ["Bad, bad BADLY badly; b\u00e4d", "one1two"]
+    rows, buckets, counts = term_buckets(texts)
+    names: dict[int, set] = {}
+    for k, text in enumerate(texts):
+        terms = Counter()
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+            terms.update([(low, "whole")] + [(low[:n], n) for n in BEGINNINGS if len(low) > n])
+        got = dict(zip(buckets[rows == k].tolist(), counts[rows == k].tolist(), strict=True))
+        assert sum(got.values()) == sum(terms.values())
+        assert sorted(got.values()) == sorted(terms.values())
+        for term in terms:
+            one = term_buckets([term[0] if term[1] == "whole" else term[0] + "zz"])[1]
+            names.setdefault(term, set()).update(b for b in one.tolist() if b in got)
+    assert all(names.values())
+
+
+def test_margin_is_the_double_sum():
+    rng = np.random.default_rng(2)
+    model = FactorizationMachine(np.arange(9), np.ones(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    row, term = np.nonzero(rng.random((7, 9)) < 0.5)
+    x = rng.random(len(row))
+    got = model.margin(row, term, x, 8)
+    for k in range(8):
+        own = [(t, v) for r, t, v in zip(row, term, x, strict=True) if r == k]
+        want = 0.3 + sum(model.linear[t] * v for t, v in own)
+        want += sum(float(model.factors[t] @ model.factors[u]) * v * w for i, (t, v) in enumerate(own) for u, w in own[i + 1 :])
+        assert abs(got[k] - want) < 1e-9
+
+
 def test_machine_learns_pairs():
+    """Neither word says anything alone: label 1 if exactly both or none stand in a text."""
     rng = np.random.default_rng(1)
     rows, y = [], []
-    for k in range(1200):
+    for k in range(2000):
         insult, group = rng.random() < 0.5, rng.random() < 0.5
-        rows += [(k, b) for b in ([10] * insult + [20] * group + [30 + int(rng.integers(50))])]
-        y.append(float(insult and group))
+        rows += [(k, b) for b in sorted({*[10] * insult, *[20] * group, 30 + int(rng.integers(50))})]
+        y.append(float(insult == group))
     row, bucket = map(np.array, zip(*rows, strict=True))
-    model = fit_machine(row, bucket, np.array(y))
-    score = lambda bs: 1 / (1 + np.exp(-model.margin(*model.present(np.zeros(len(bs), int), np.array(bs)), 1)[0]))
-    assert score([10, 20]) > 0.7 and max(score([10]), score([20])) < 0.4
+    aside = np.arange(2000) % 5 == 0
+    model = fit_machine(row, bucket, np.ones(len(row), dtype=int), np.array(y), aside, epochs=60)
+    score = lambda m, bs: 1 / (1 + np.exp(-m.margin(*m.inputs(np.zeros(len(bs), int), np.array(bs), np.ones(len(bs))), 1)[0] - m.shift))
+    assert min(score(model, [10, 20, 40]), score(model, [40])) > max(score(model, [10, 40]), score(model, [20, 40]))
+    assert min(score(model, [10, 20, 40]), score(model, [40])) >= 0.7 > max(score(model, [10, 40]), score(model, [20, 40]))
+    flat = FactorizationMachine(model.terms, model.weight, model.base, model.linear, np.zeros_like(model.factors), model.shift)
+    assert min(score(flat, [10, 20, 40]), score(flat, [40])) < max(score(flat, [10, 40]), score(flat, [20, 40])) + 0.05  # what the factors do
+
+
+def test_cut_parts_labels_best():
+    z, y = np.array([9.0, 8.0, 7.0, 3.0, 2.0, 2.0, 1.0, -1.0, -2.0, -3.0, -4.0]), np.array([1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0])
+    assert best_cut(z, y) == 0.0
+    assert best_cut(z, np.ones(11)) is None and best_cut(z, np.zeros(11)) is None and best_cut(z[:0], y[:0]) is None
 
 
 def test_toxicity_held_out_and_odd_rows(spark, docs, odd_texts, prose):
