@@ -46,7 +46,8 @@ class WordTokenizer:
     A byte-level BPE with this pre-tokenizer never joins characters across a single space between two characters
     that are not white space, so a text's ids are those of its pieces " word" in a row. Words are told apart
     by 64-bit digests, and new ones are merged by the faster library over the same vocabulary, in which a
-    token's id is its rank. Texts with other white space next to a space, or at an end, are encoded whole.
+    token's id is its rank. Texts with other white space next to a space, or at an end, are encoded whole, and so are
+    those that hold an added token's content, which the tokenizer turns into that token's id.
     """
 
     def __init__(self, path: str):
@@ -55,8 +56,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in added.values() if t.content]
         of = _visible_bytes()
         ranks = {bytes(of[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if i not in added}
         self.merges = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -114,6 +115,8 @@ class WordTokenizer:
         """All ids in a row, and where each text's begin (one more entry: the end)."""
         raws = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
         plain = self.plain(raws)
+        for token in self.added:
+            plain &= [token not in r for r in raws]
         sizes = np.zeros(len(raws), dtype=np.int64)
         chosen = [r for r, p in zip(raws, plain, strict=True) if p]
         flat, starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)

@@ -95,10 +95,12 @@ def test_numbering_in_small_blocks(spark):
 
 def test_tokens_equal_the_tokenizer(odd_texts, prose):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
     rng = random.Random(2)
     texts = odd_texts + ["it's  don't", " a", "a ", "a\n b", "a \nb", "a\n\nb c", "x\u2003 y z", "’ don’t", "a,b c.d \u00a0e", prose(500, 9)] + ["".join(rng.choice(["a", "B ", " ", "\n", "é", "'s", "1", ",", "\t", "ab c"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += [f for t in added for f in (t, f"hello {t} world", f"a{t}b", f"{t}{t}\n", f" {t} ", t[:-1], f"it's{t} 1 {t}")]
     ids, starts = WordTokenizer(PATH).encode(texts)
+    assert whole.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     for k, t in enumerate(texts):
         assert ids[starts[k] : starts[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
