@@ -17,8 +17,7 @@ def is_prime(n: int) -> bool:
 
 
 def next_prime(n: int) -> int:
-    """The least prime above ``n``."""
-    n += 1
+    """The least prime that is ``n`` or above it."""
     while not is_prime(n):
         n += 1
     return n

@@ -65,7 +65,8 @@ def test_hash_functions(spark):
     assert {r["w"]: r["r"] for r in df.collect()} == {w: int.from_bytes(w.encode(), "big") % 69_997 for w in words}
     zeros = spark.createDataFrame([(x,) for x in (8, 12, 1, 0)], "x long").select(trailing_zeros(F.col("x")).alias("z"))
     assert [r["z"] for r in zeros.collect()] == [3, 2, 0, -1]
-    assert next_prime(840) == 853 and [p for p in MULTIPLIERS if not is_prime(p)] == [77]
+    assert [next_prime(n) for n in (0, 2, 14, 103, 280, 281, 840)] == [2, 2, 17, 103, 281, 281, 853]
+    assert [p for p in MULTIPLIERS if not is_prime(p)] == [77]
 
 
 def test_dense_index_is_the_rank(spark):
