@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import materialize, release_memory, slabs, small_batches, text_hash
+from orelode.llm.sieve import key_sieve, record_digest
 from orelode.llm.spans import mix
 from orelode.operators.graph import component_roots
 
@@ -327,13 +328,19 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, parts: in
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that come first in their component: least doc_id, then least text digest.
 
-    A null doc_id comes last. Of rows with equal doc_id and text one stays.
+    A null doc_id comes last. Of rows with equal doc_id and text one stays. Texts of rows that a sieve of what goes clears aren't shuffled.
     """
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     # The fingerprint stands for a component without any doc_id.
     first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(order).alias("k"), F.min_by(F.lit(1), order).alias("one"))
     kept = materialize(first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "kept")
-    again = groups.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    gone = groups.join(kept, groups["doc_id"].eqNullSafe(kept["__id"]) & (groups["text_hash"] == kept["__hash"]), "left_anti")
+    again = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    names = gone.select("doc_id", "text_hash").unionAll(again).select(record_digest(F.col("doc_id"), F.col("text_hash")).alias("k"))
     keyed = docs.withColumn("__key", text_hash())
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__hash"]), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "__key"]) if again else rows).drop("__key")
+    met = key_sieve(names, "k")(record_digest(F.col("doc_id"), F.col("__key")))
+    rows = keyed.where(met)
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__key"] == kept["__hash"]), "left_semi")
+    if again.limit(1).count():  # such rows pass the sieve all
+        rows = rows.dropDuplicates(["doc_id", "__key"])
+    return keyed.where(~met).unionAll(rows).drop("__key")
