@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import bounded_sample, char_codes, slabs, small_batches
+from orelode.llm.common import bounded_sample, char_codes, release_memory, slabs, small_batches
 from orelode.llm.spans import letter_table, lower_table, mix, owner, runs, span_digests
 
 BUCKETS = 1 << 20
@@ -98,7 +98,7 @@ class FactorizationMachine:
 
     def inputs(self, row: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, x) of the buckets that are terms."""
-        at = np.full(BUCKETS, -1, dtype=np.int64)
+        at = np.full(BUCKETS, -1, dtype=np.int32)
         at[self.terms] = np.arange(len(self.terms))
         term = at[bucket]
         row, term, count = row[term >= 0], term[term >= 0], count[term >= 0]
@@ -142,7 +142,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, y: np.nd
     apart = np.abs(np.log((hits[terms] + 1) / (ones + 2)) - np.log((seen[terms] - hits[terms] + 1) / (len(learn) - ones + 2)))
     model = FactorizationMachine(terms, (apart + LEAST_WEIGHT) ** 2, float(np.log(part / (1 - part))), np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), width)))
     row, term, x = model.inputs(row, bucket, count)
-    begin = np.searchsorted(row, np.arange(n + 1))
+    begin = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
     past = [1e-6, np.full(len(terms), 1e-6), np.full((len(terms), width), 1e-6)]
     batches = max(1, len(learn) // batch)
     for _ in range(max(epochs, -(-least_steps // batches)) if len(terms) else 0):
@@ -189,12 +189,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_RO
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "toxic": part["toxic"].to_numpy(), "buckets": lists(bucket), "counts": lists(count)})
 
     found = rows.select("doc_id", "text", "toxic").mapInPandas(run, "doc_id long, toxic int, buckets binary, counts binary").toPandas().sort_values(["doc_id", "toxic", "buckets", "counts"])
-    bags = [np.frombuffer(b, dtype="<i4") for b in found["buckets"]]
-    counts = [np.frombuffer(b, dtype="<i4") for b in found["counts"]]
-    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = lambda parts: np.concatenate([*parts, np.zeros(0, dtype="<i4")]).astype(np.int64)
+    row = np.repeat(np.arange(len(found), dtype=np.int32), found["buckets"].str.len() // 4)
+    bucket, count = (np.frombuffer(b"".join(found[c]), dtype="<i4") for c in ("buckets", "counts"))
+    y = found["toxic"].to_numpy(dtype=float)
     aside = np.array([zlib.crc32(b"%d" % k) % CALIBRATE_ONE_OF == 0 for k in found["doc_id"]], dtype=bool)
-    return fit_machine(row, flat(bags), flat(counts), found["toxic"].to_numpy(dtype=float), aside)
+    del found
+    release_memory()
+    model = fit_machine(row, bucket, count, y, aside)
+    del row, bucket, count
+    release_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
