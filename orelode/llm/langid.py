@@ -71,7 +71,13 @@ class LanguageModel:
         return total / np.maximum(seen, 1)[:, None] + self.bias, has_letter
 
     def predict(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """The language and its calibrated probability; ``und`` with probability 1 for a text without a letter."""
+        """The language and its calibrated probability; ``und`` with probability 1 for a text without a letter.
+
+        Of equally likely languages the first by name. A model that has learned no language says ``und`` with probability 0 of any other text.
+        """
+        if not self.languages:
+            codes, starts = char_codes(texts)
+            return np.full(len(starts) - 1, UNKNOWN, dtype=object), (per_text(letter_table()[codes], starts) == 0).astype(float)
         logits, has_letter = self.logits(texts)
         p = _softmax(logits / self.temperature)
         best = p.argmax(axis=1)
@@ -127,13 +133,14 @@ def train_languages(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) ->
     """Fit on about ``per_language`` rows of each ``lang`` of ``docs (doc_id, text, lang)``, drawn by a hash of doc_id and text.
 
     Executors hash the subwords of whole texts, so the driver gets at most ``BUCKETS`` counts of a document.
-    Rows with a null lang or text, or without a subword, are left out. A quarter of the rows calibrates.
+    Rows with a null lang or text, or without a subword, are left out; if none is left, the model knows no language. Equal rows are drawn
+    together, so copies weigh as often as they occur. A quarter of the rows calibrates.
     """
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled document to learn from")
+        return fit_language_model([], [], np.zeros(0, dtype=bool))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
     drawn = known.where(F.shiftrightunsigned("h", 11) < share[F.col("lang")] * float(1 << 53))
 
@@ -155,7 +162,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``accepted`` for every row, from the whole text alone.
 
     Without a letter (null and empty texts too): ``und``, score 1, not accepted. Otherwise a learned language with its
-    calibrated probability; ``accepted`` says whether that reaches the model's rejection bound.
+    calibrated probability (``und``, 0, not accepted if none was learned); ``accepted`` says whether that reaches the model's rejection
+    bound. Equal rows get equal results, rows with a null doc_id keep it, other columns aren't read, and an empty table gives an empty result.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -58,8 +58,10 @@ def test_language_of_odd_rows(spark, docs, odd_texts):
     by = {r["doc_id"]: (r["lang_pred"], r["score"], r["accepted"]) for r in out}
     assert by[None] == by[0] == by[1] == by[10] == by[len(odd_texts) - 1] == ("und", 1.0, False) and by[2][0] in ("en", "de")
     assert identify_languages(docs([]), model).count() == 0
-    with pytest.raises(ValueError):
-        train_languages(df.limit(0))
+    none = train_languages(df.limit(0))
+    found = identify_languages(docs(["some words", "12", None]), none).collect()
+    assert sorted((r["doc_id"], r["lang_pred"], r["score"], r["accepted"]) for r in found) == [(0, "und", 0.0, False), (1, "und", 1.0, False), (2, "und", 1.0, False)]
+    assert not train_languages(docs(["12", None], lang=["en", "en"])).languages
 
 
 def brute_counts(t):
