@@ -16,7 +16,7 @@ from orelode.llm.spans import BASE, lower_table, mix, owner, word_character_tabl
 Q = 8
 #: Edits that a passage may differ by, as a share of its letters and numerals.
 EDIT_SHARE = 0.1
-#: Items with fewer letters and numerals are left out: they'd be met by chance.
+#: Items with fewer letters and numerals are found only letter for letter and as whole words, those with under Q only as a whole text: they'd be met by chance.
 LEAST_LETTERS = 40
 #: Letters of items that are searched at once; more items are searched in blocks.
 BLOCK_LETTERS = 4_000_000
@@ -68,7 +68,7 @@ def banded_edits(item: np.ndarray, region: np.ndarray, low: int, high: int, most
 class Benchmark:
     """The q-grams of a block of items, sorted by digest."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     letters: list[np.ndarray]
     budget: np.ndarray
     needed: np.ndarray
@@ -77,16 +77,22 @@ class Benchmark:
     items: np.ndarray
     places: np.ndarray
     seen: np.ndarray
+    #: The ids of items with under Q letters, by their letters.
+    tiny: dict[bytes, list[int | None]]
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], edit_share: float = EDIT_SHARE) -> Benchmark:
+    def of(cls, ids: list[int | None], texts: list[str], edit_share: float = EDIT_SHARE) -> Benchmark:
         letters, _, starts = _letters(texts)
         own = [letters[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        use = [i for i, x in enumerate(own) if len(x) >= LEAST_LETTERS]
+        tiny: dict[bytes, list[int | None]] = {}
+        for i, x in enumerate(own):
+            if 0 < len(x) < Q:
+                tiny.setdefault(x.tobytes(), []).append(ids[i])
+        use = [i for i, x in enumerate(own) if len(x) >= Q]
         own = [own[i] for i in use]
         size = np.array([len(x) for x in own], dtype=np.int64)
         # An item of n letters shares at least n - Q + 1 - Q * edits q-grams with what has that many edits.
-        budget = np.minimum((size * edit_share).astype(np.int64), (size - Q) // Q)
+        budget = np.where(size < LEAST_LETTERS, 0, np.minimum((size * edit_share).astype(np.int64), (size - Q) // Q))
         grams = [_grams(x) for x in own]
         digest = np.concatenate([*grams, np.zeros(0, dtype=np.uint64)])
         items = np.repeat(np.arange(len(own)), [len(g) for g in grams])
@@ -95,11 +101,19 @@ class Benchmark:
         keys, first = np.unique(digest[order], return_index=True)
         seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return cls(np.array([ids[i] for i in use], dtype=np.int64), own, budget, size - Q + 1 - Q * budget, keys, np.append(first, len(digest)), items[order], places[order], seen)
+        return cls([ids[i] for i in use], own, budget, size - Q + 1 - Q * budget, keys, np.append(first, len(digest)), items[order], places[order], seen, tiny)
 
-    def matches(self, texts) -> list[tuple[int, int, int, int, int]]:
+    def matches(self, texts) -> list[tuple[int, int | None, int, int, int]]:
         """(text, item_id, begin, end, edits) of each passage: offsets in the text, at most one of an item in a band."""
         letters, at, starts = _letters(texts)
+        text_starts = np.concatenate([[0], np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])])
+        place = lambda t, start, end: (int(at[start] - text_starts[t]), int(at[end - 1] + 1 - text_starts[t]))
+        short = np.nonzero((np.diff(starts) > 0) & (np.diff(starts) < Q))[0].tolist() if self.tiny else []
+        whole = [(t, i, *place(t, starts[t], starts[t + 1]), 0) for t in short for i in self.tiny.get(letters[starts[t] : starts[t + 1]].tobytes(), [])]
+        return whole + [(t, self.ids[i], *place(t, start, end), edits) for t, i, start, end, edits in self._passages(letters, at, starts)]
+
+    def _passages(self, letters: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, begin, end, edits) of passages of items of Q letters or more, counted in ``letters``."""
         grams = _grams(letters)
         if not len(self.keys) or not len(grams):
             return []
@@ -136,9 +150,12 @@ class Benchmark:
             step = 2 * budget + 1
             values, times = np.unique(diagonals[here], return_counts=True)
             exact = [d for d in values[times >= len(own) - Q + 1].tolist() if starts[t] <= d and d + len(own) <= starts[t + 1] and np.array_equal(letters[d : d + len(own)], own)]
+            if len(own) < LEAST_LETTERS:
+                border = lambda k, t=t: k in (starts[t], starts[t + 1]) or at[k] > at[k - 1] + 1
+                exact = [d for d in exact if border(d) and border(d + len(own))]
             for d in exact:  # no need to align
                 found[(t, i, (d + len(own)) // len(own))] = (0, d + len(own), d)
-            if exact:
+            if exact or len(own) < LEAST_LETTERS:
                 continue
             low, high = b * step - budget, (b + 2) * step - 1 + budget
             region = letters[max(starts[t], low) : min(starts[t + 1], high + len(own))]
@@ -154,13 +171,12 @@ class Benchmark:
             if near is None or found[near][0] > edits:
                 found.pop(near, None)
                 found[key3] = (edits, int(base + end), int(base + start))
-        text_starts = np.concatenate([[0], np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])])
-        return [(t, int(self.ids[i]), int(at[start] - text_starts[t]), int(at[end - 1] + 1 - text_starts[t]), edits) for (t, i, _), (edits, end, start) in found.items()]
+        return [(t, i, start, end, edits) for (t, i, _), (edits, end, start) in found.items()]
 
 
 def benchmark_blocks(benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_letters: int = BLOCK_LETTERS) -> Iterator[Benchmark]:
     """The items in blocks of about ``block_letters`` letters, so what a task holds is bounded however many items there are."""
-    rows = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct()
+    rows = benchmark.where("text is not null").select("item_id", "text").distinct()
     total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-total // block_letters)
     for k in range(blocks):
@@ -172,8 +188,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
     """``doc_id, text_hash, item_id, begin, end, edits``: where whole texts hold an item within its edit budget.
 
     Letters are compared without case; white space and punctuation don't count. The budget is ``edit_share`` of an item's letters and
-    numerals, items with under ``LEAST_LETTERS`` of them are left out. Null and empty texts hold nothing, equal
-    rows give equal results, rows with a null doc_id keep it. An empty benchmark gives an empty result.
+    numerals; items with under ``LEAST_LETTERS`` of them have none and must stand as whole words, and those with under ``Q`` are found
+    only where a text is nothing else. Null and empty texts and items hold nothing, equal rows give equal results, rows with a null doc_id
+    and items with a null item_id keep it. An empty benchmark gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
@@ -185,7 +202,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
             for part in slabs(frames, "text"):
                 found = own.matches(part["text"].tolist())
                 at = [m[0] for m in found]
-                rest = pd.DataFrame([m[1:] for m in found], columns=["item_id", "begin", "end", "edits"])
+                rest = pd.DataFrame([m[1:] for m in found], columns=["item_id", "begin", "end", "edits"]).astype({"item_id": "Int64"})
                 yield pd.concat([part[["doc_id", "text_hash"]].iloc[at].reset_index(drop=True), rest], axis=1)
 
         out = out.unionAll(rows.mapInPandas(run, schema))
@@ -193,7 +210,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_letters: int = BLOCK_LETTERS) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text holds no item; see :func:`find_passages`."""
+    """The rows of ``docs`` (all columns) whose text holds no item, be its item_id null or not; see :func:`find_passages`. Null and empty texts stay."""
     small_batches(docs.sparkSession)
     for own in benchmark_blocks(benchmark, edit_share, block_letters):
         docs = docs.where(_holds_none(own)("text"))
