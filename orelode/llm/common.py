@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orelode.checkpoint import materialize
 
-__all__ = ["bounded_sample", "char_codes", "crc_mod", "materialize", "read_table", "slabs", "small_batches", "text_hash"]
+__all__ = ["bounded_sample", "char_codes", "crc_mod", "materialize", "read_table", "slabs", "small_batches", "spread_join", "text_hash"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,19 @@ def text_hash(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], many: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` but ``many``, joined by ``keys``, without a task that takes a hot key's rows.
+
+    ``table`` holds a key once, and in ``many`` how often ``rows`` do. Keys with over a ten-thousandth of the rows, fewer than 10,000 ones,
+    go to all tasks; only rows of other keys are shuffled. Both tables should be written ones, as they are read twice.
+    """
+    total = table.agg(F.sum(many)).first()[0] or 0
+    often = F.col(many) > total / 10_000
+    hot = F.broadcast(table.where(often).drop(many))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~often).drop(many), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 7) -> DataFrame:
     """The ``limit`` rows that come first by a hash of the key: the same rows at any partitioning."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(limit)
@@ -74,4 +87,3 @@ def slabs(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 1_000_0
             yield part
         del frame
         release_memory()
-

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import materialize, release_memory, slabs, small_batches, text_hash
+from orelode.llm.common import materialize, release_memory, slabs, small_batches, spread_join, text_hash
 from orelode.llm.sieve import key_sieve, record_digest
 from orelode.llm.spans import mix
 from orelode.operators.graph import component_roots
@@ -296,7 +296,9 @@ def near_links(fps: DataFrame, distance: int, parts: int | None = None) -> DataF
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, parts: int | None = None, tables: int = 1) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fp`` and ``component_id`` (the smallest doc_id reachable over links) of every row.
+    """``doc_id``, ``text_hash``, ``fp``, ``root`` and ``component_id`` (the smallest doc_id reachable over links) of every row.
+
+    ``root`` tells a component from others, also where rows with equal doc_id stand in several or no row of it has one.
 
     Fingerprints link if they differ in at most ``distance`` bits; equal ones always link, so texts without
     words (fingerprint 0) do. With more ``tables``, two texts link if they do in any of that many independent fingerprints: a
@@ -307,7 +309,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, parts: in
     """
     table = materialize(simhash(docs, words, tables), "fingerprints")
     names = _names(tables)
-    each = materialize(table.groupBy(*names).agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    each = materialize(table.groupBy(*names).agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "distinct-fingerprints")
     met = each
     for c in names:
         roots = component_roots(near_links(each.select(F.col(c).alias("fp")), distance, parts), "a", "b").select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -320,9 +322,10 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, parts: in
             own = met.join(met.groupBy(f"root_{c}").agg(F.min(root).alias("b")), f"root_{c}").select(F.col(root).alias("a"), "b").where("a <> b").distinct()
             joins = own if joins is None else joins.unionAll(own)
         met = met.join(component_roots(joins, "a", "b").select(F.col("node").alias(root), "root"), root, "left").withColumn(root, F.coalesce("root", root))
-    lows = met.groupBy(root).agg(F.min("low").alias("component_id"))
-    named = materialize(met.join(lows, root).select(*names, "component_id"), "components")
-    return table.join(named, names).select("doc_id", "text_hash", "fp", "component_id")
+    met = materialize(met, "rooted")
+    lows = materialize(met.groupBy(root).agg(F.min("low").alias("component_id"), F.count("*").alias("many")), "lows")
+    named = materialize(spread_join(met, lows, [root], "many").select(*names, F.col(root).alias("root"), "component_id", "copies"), "components")
+    return spread_join(table, named, names, "copies").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -331,8 +334,7 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     A null doc_id comes last. Of rows with equal doc_id and text one stays. Texts of rows that a sieve of what goes clears aren't shuffled.
     """
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    # The fingerprint stands for a component without any doc_id.
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(order).alias("k"), F.min_by(F.lit(1), order).alias("one"))
+    first = groups.groupBy("root").agg(F.min(order).alias("k"), F.min_by(F.lit(1), order).alias("one"))
     kept = materialize(first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "kept")
     gone = groups.join(kept, groups["doc_id"].eqNullSafe(kept["__id"]) & (groups["text_hash"] == kept["__hash"]), "left_anti")
     again = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")

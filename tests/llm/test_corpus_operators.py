@@ -212,6 +212,9 @@ def test_groups_with_null_and_repeated_ids(docs, prose):
     kept = keep_one(data, groups).collect()
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == sorted([(5, texts[0]), (-1, texts[3]), (9, "")])
     assert simhash_groups(docs([])).count() == 0
+    # rows with one doc_id in several components, and links between rows without one
+    again = docs([prose(50, 1), prose(50, 2), prose(400, 3), prose(400, 3) + " end"], [5, 5, None, None])
+    assert len(keep_one(again, simhash_groups(again)).collect()) == 3
 
 
 def test_more_tables_find_more(docs, prose):
