@@ -29,7 +29,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``id, label`` after synchronous rounds in which each vertex takes its neighbours' most frequent label, the smallest of equals."""
     both = materialize(symmetrise(edges), "symmetric")
-    labels = vertices(edges).select("id", F.col("id").alias("label"))
+    labels = both.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         counts = both.join(labels, both["src"] == labels["id"]).groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
         # The greatest count, then the smallest label: minimum of (-n, label).
@@ -76,6 +76,7 @@ def component_roots(edges: DataFrame, a: str = "src", b: str = "dst", most_round
 
 def connected_components(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """``id, component`` of every vertex, and of the ``id`` in ``isolated`` that no edge names."""
+    edges = materialize(edges.select("src", "dst"), "edges")
     ids = vertices(edges) if isolated is None else vertices(edges).union(isolated.select("id")).distinct()
     roots = component_roots(edges)
     return ids.join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.checkpoint import materialize
@@ -39,9 +39,12 @@ def candidates(frequent: DataFrame, size: int) -> DataFrame:
     return checked.groupBy("itemset").agg(F.count("*").alias("n")).where(F.col("n") == size + 1).select("itemset")
 
 
-def pcy_buckets(baskets: DataFrame, support: int, buckets: int = 10_000) -> DataFrame:
-    """``bucket`` and ``n`` of the hash buckets of item pairs that reach ``support``: no pair of another bucket can be frequent."""
-    code = F.crc32(F.col("item").cast("binary"))
+def pcy_buckets(baskets: DataFrame, support: int, buckets: int = 10_000, code: Column | None = None) -> DataFrame:
+    """``bucket`` and ``n`` of the hash buckets of item pairs that reach ``support``: no pair of another bucket can be frequent.
+
+    A pair's bucket is the sum of its items' codes modulo ``buckets``. ``code`` is an item's number; without one its crc32 serves.
+    """
+    code = F.crc32(F.col("item").cast("binary")) if code is None else code
     rows = baskets.select("basket_id", "item", code.alias("code"))
     pairs = rows.alias("x").join(rows.alias("y"), "basket_id").where(F.col("x.item") < F.col("y.item"))
     return pairs.groupBy(F.pmod(F.col("x.code") + F.col("y.code"), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") >= support)

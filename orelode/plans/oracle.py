@@ -104,6 +104,20 @@ asks AS (SELECT DISTINCT seq // {ASK} AS ask FROM stream)
 SELECT ask, coalesce(fp, 0) AS fp, coalesce(tn, 0) AS tn, round(coalesce(fp / nullif(fp + tn, 0), 0.0), 6) AS fpr FROM asks LEFT JOIN counts USING (ask)"""
 
 
+def _bloom_strict() -> str:
+    own = ", ".join(f"({p} * s + {OFFSET}) % {BLOOM_BITS}" for p in BLOOM_MULTIPLIERS)
+    return f"""WITH RECURSIVE {_STREAM}, users AS (SELECT u, min(seq) AS first, {_residue(BLOOM_BITS)} AS s FROM stream GROUP BY u),
+ordered AS (SELECT row_number() OVER (ORDER BY min(first)) AS k, min(first) AS first, [{own}] AS own FROM users GROUP BY s),
+fold(k, bits, inserted) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL
+  SELECT o.k, CASE WHEN list_has_any(bits, own) THEN bits ELSE list_concat(bits, own) END, NOT list_has_any(bits, own) FROM fold JOIN ordered o ON o.k = fold.k + 1),
+since AS (SELECT DISTINCT unnest(own) AS bit, first AS since FROM fold JOIN ordered USING (k) WHERE inserted),
+each_bit AS (SELECT u, first, unnest([{own}]) AS bit FROM users),
+state AS (SELECT u, first, bool_and(coalesce(since < first, false)) AS is_fp, NOT bool_or(coalesce(since < first, false)) AS is_tn FROM each_bit LEFT JOIN since USING (bit) GROUP BY 1, 2),
+counts AS (SELECT first // {ASK} AS ask, sum(is_fp::INT)::BIGINT AS fp, sum(is_tn::INT)::BIGINT AS tn FROM state GROUP BY 1),
+asks AS (SELECT DISTINCT seq // {ASK} AS ask FROM stream)
+SELECT ask, coalesce(fp, 0) AS fp, coalesce(tn, 0) AS tn, round(coalesce(fp / nullif(fp + tn, 0), 0.0), 6) AS fpr FROM asks LEFT JOIN counts USING (ask)"""
+
+
 def _uniform(salt: str) -> str:
     return f"('0x' || substr(md5('{salt}:' || seq::VARCHAR), 1, 12))::BIGINT"
 
@@ -154,6 +168,8 @@ def oracle_sql() -> dict[str, str]:
         "freq_itemsets_fp": _ALL,
         "itemset_candidates": f"WITH {_BASKETS}, {_F2} SELECT concat_ws(',', x.i1, x.i2, y.i2) AS itemset FROM f2 x JOIN f2 y ON x.i1 = y.i1 AND x.i2 < y.i2 JOIN f2 z ON z.i1 = x.i2 AND z.i2 = y.i2",
         "itemset_report": f"WITH {_BASKETS}, {_F1}, {_F2} SELECT 1 AS size, '(''' || item || ''')' AS line FROM f1 UNION ALL SELECT 2, '(''' || i1 || ''', ''' || i2 || ''')' FROM f2",
+        "pcy_buckets": f"""WITH {_BASKETS}, coded AS (SELECT basket_id, item, regexp_extract(item, '[0-9]+')::BIGINT AS code FROM baskets)
+SELECT (x.code + y.code) % 10000 AS bucket, count(*) AS n FROM coded x JOIN coded y ON x.basket_id = y.basket_id AND x.item < y.item GROUP BY 1 HAVING count(*) >= (SELECT s FROM s)""",
         "dense_user_index": f"WITH {_FEEDBACK}, {_INDEX} SELECT member, idx FROM idx",
         "minhash_signatures": f"{_LSH} SELECT item, concat_ws(',', {', '.join(f'm{i}' for i in range(24))}) AS sig FROM sig",
         "lsh_candidates": f"{_LSH} SELECT a, b FROM cand",
@@ -170,10 +186,11 @@ SELECT n_found, n_truth, n_both, round(n_both / nullif(n_found, 0), 6) AS precis
 SELECT user_ AS "user", item, round(prediction, 6) AS prediction FROM pred WHERE user_ NOT IN (SELECT user_ FROM train) OR item NOT IN (SELECT item FROM train)""",
         "cf_rmse": f"{_CF} SELECT count(*) AS n, round(sqrt(avg((prediction - stars) ** 2)), 6) AS rmse FROM pred JOIN test USING (user_, item)",
         "mb_features": f'WITH {_TRAIN}, {_TEST}, {_PROFILES} SELECT user_ AS "user", item, user_idx, item_idx, round(user_avg, 6) AS user_avg, user_n, round(item_avg, 6) AS item_avg, item_n, round(stars, 6) AS stars FROM feats',
-        "hybrid_predict": f"""{_CF}, {_PROFILES} SELECT p.user_ AS "user", p.item, round(CASE WHEN n_neighbours > 1 THEN 0.9 * prediction + (1 - 0.9) * (user_avg + item_avg) / 2
+        "hybrid_blend": f"""{_CF}, {_PROFILES} SELECT p.user_ AS "user", p.item, round(CASE WHEN n_neighbours > 1 THEN 0.9 * prediction + (1 - 0.9) * (user_avg + item_avg) / 2
 ELSE 0.1 * prediction + (1 - 0.1) * (user_avg + item_avg) / 2 END, 9) AS prediction FROM pred p JOIN feats f ON f.user_ = p.user_ AND f.item = p.item""",
         "stream_first_seen": f'WITH {_STREAM} SELECT u AS "user", min(seq) AS first FROM stream GROUP BY 1',
         "bloom_fpr": _bloom(),
+        "bloom_fpr_strict": _bloom_strict(),
         "fm_estimate": _fm(),
         "reservoir_changes": f'WITH {_STREAM}, {_CHANGES} SELECT slot, seq, u AS "user" FROM changes',
         "reservoir_snapshots": _SNAPSHOTS,

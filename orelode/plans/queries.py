@@ -24,6 +24,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _baskets(spark, sf_dir) -> DataFrame:
+    """The baskets as a written table, as the support and each level read them again."""
+    return materialize(fx.baskets(spark, sf_dir), "baskets")
+
+
 def _flat(df: DataFrame, column: str = "itemset", sep: str = ",") -> DataFrame:
     return df.withColumn(column, F.array_join(F.col(column).cast("array<string>"), sep))
 
@@ -35,12 +40,12 @@ def baskets(spark, sf_dir):
 
 @query
 def freq_singletons(spark, sf_dir):
-    rows = fx.baskets(spark, sf_dir)
+    rows = _baskets(spark, sf_dir)
     return _flat(itemsets.item_counts(rows, fx.basket_support(rows)))
 
 
 def _level(spark, sf_dir, size: int) -> DataFrame:
-    rows = fx.baskets(spark, sf_dir)
+    rows = _baskets(spark, sf_dir)
     return _flat(itemsets.frequent_itemsets(rows, fx.basket_support(rows), size).where(F.col("size") == size).select("itemset", "support"))
 
 
@@ -56,33 +61,33 @@ def freq_triples(spark, sf_dir):
 
 @query
 def freq_itemsets(spark, sf_dir):
-    rows = fx.baskets(spark, sf_dir)
+    rows = _baskets(spark, sf_dir)
     return _flat(itemsets.frequent_itemsets(rows, fx.basket_support(rows)))
 
 
 @query
 def freq_itemsets_fp(spark, sf_dir):
-    rows = fx.baskets(spark, sf_dir)
+    rows = _baskets(spark, sf_dir)
     return _flat(itemsets.frequent_itemsets_fp(rows, fx.basket_support(rows)))
 
 
 @query
 def itemset_candidates(spark, sf_dir):
-    rows = fx.baskets(spark, sf_dir)
+    rows = _baskets(spark, sf_dir)
     found = itemsets.frequent_itemsets(rows, fx.basket_support(rows), 2)
     return _flat(itemsets.candidates(found.where("size = 2").select("itemset", "support"), 2))
 
 
 @query
 def itemset_report(spark, sf_dir):
-    rows = fx.baskets(spark, sf_dir)
+    rows = _baskets(spark, sf_dir)
     return itemsets.itemset_lines(itemsets.frequent_itemsets(rows, fx.basket_support(rows), 2))
 
 
 @query
 def pcy_buckets(spark, sf_dir):
-    rows = fx.baskets(spark, sf_dir)
-    return itemsets.pcy_buckets(rows, fx.basket_support(rows))
+    rows = _baskets(spark, sf_dir)
+    return itemsets.pcy_buckets(rows, fx.basket_support(rows), code=F.regexp_extract("item", "[0-9]+", 0).cast("long"))
 
 
 @query
@@ -171,15 +176,25 @@ def mb_features(spark, sf_dir):
     return rows.select("user", "item", "user_idx", "item_idx", F.round("user_avg", 6).alias("user_avg"), "user_n", F.round("item_avg", 6).alias("item_avg"), "item_n", F.round("stars", 6).alias("stars"))
 
 
-@query
-def mb_predict(spark, sf_dir):
+def _model_scores(spark, sf_dir) -> DataFrame:
     model = recommend.fit_regression(materialize(_features(spark, sf_dir, test=False), "features"))
     return recommend.predict_regression(model, _features(spark, sf_dir, test=True))
 
 
+@query
+def mb_predict(spark, sf_dir):
+    return _model_scores(spark, sf_dir)
+
+
 @query
 def hybrid_predict(spark, sf_dir):
-    """The blend, with the mean of both profiles as the model's score and a cut at one neighbour, as few pairs correlate here."""
+    """Item-based scores and those of the boosted trees, blended by the published rule; the trees are beyond SQL."""
+    return recommend.blend(_cf(spark, sf_dir), _model_scores(spark, sf_dir))
+
+
+@query
+def hybrid_blend(spark, sf_dir):
+    """The blend alone, so that SQL can state it: the mean of both profiles stands in for the model, the cut is one neighbour, as few pairs correlate here."""
     model = _features(spark, sf_dir, test=True).select("user", "item", ((F.col("user_avg") + F.col("item_avg")) / 2).alias("model"))
     return recommend.blend(_cf(spark, sf_dir), model, cut=1).withColumn("prediction", F.round("prediction", 9))
 

@@ -57,6 +57,8 @@ def test_pcy_never_loses_a_frequent_pair(spark):
 
     kept = {r["bucket"] for r in itemsets.pcy_buckets(data, 2).collect()}
     assert pairs and all(sum(zlib.crc32(x.encode()) for x in p["itemset"]) % 10_000 in kept for p in pairs)
+    numbered = spark.createDataFrame([(k, x) for k, g in enumerate([(1, 2, 9), (1, 2), (9, 1)]) for x in map(str, g)], "basket_id long, item string")
+    assert rows(itemsets.pcy_buckets(numbered, 2, 8, F.col("item").cast("long")), "bucket", "n") == [(2, 2), (3, 3)]
 
 
 def test_hash_functions(spark):

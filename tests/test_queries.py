@@ -48,6 +48,16 @@ def test_partitions_change_nothing(spark, name, partitions):
     assert values(got, sorted(got.columns)) == values(want, sorted(want.columns))
 
 
+def test_hybrid_blends_both_scores(spark):
+    items = {(r["user"], r["item"]): r for r in REGISTRY["cf_predict"](spark, DATA).collect()}
+    model = {(r["user"], r["item"]): r["model"] for r in REGISTRY["mb_predict"](spark, DATA).collect()}
+    found = {(r["user"], r["item"]): r["prediction"] for r in REGISTRY["hybrid_predict"](spark, DATA).collect()}
+    assert found and found.keys() == items.keys() == model.keys()
+    for k, x in found.items():
+        share = 0.9 if items[k]["n_neighbours"] > 50 else 0.1
+        assert abs(x - share * items[k]["prediction"] - (1 - share) * model[k]) < 1e-5
+
+
 def test_registry():
     import __spark_entry__
 
