@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orelode.operators import boosting
 from orelode.operators.relational import lookup, top_per_group
 
 #: Defaults of the neighbour rule (fixed values).
@@ -39,7 +38,8 @@ def item_correlations(ratings: DataFrame, min_co_raters: int = MIN_CO_RATERS) ->
 def neighbour_table(ratings: DataFrame, min_co_raters: int = MIN_CO_RATERS, min_correlation: float = MIN_CORRELATION) -> DataFrame:
     """``item, neighbour, corr`` in both directions, for correlations (to 6 places) that reach the bound."""
     pairs = item_correlations(ratings, min_co_raters).select("a", "b", F.round("corr", 6).alias("corr")).where(F.col("corr") >= min_correlation)
-    return pairs.select(F.col("a").alias("item"), F.col("b").alias("neighbour"), "corr").unionAll(pairs.select(F.col("b").alias("item"), F.col("a").alias("neighbour"), "corr"))
+    both = F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("neighbour"), "corr"), F.struct(F.col("b").alias("item"), F.col("a").alias("neighbour"), "corr"))
+    return pairs.select(F.inline(both))  # a union of both directions would correlate all pairs twice
 
 
 def predict_ratings(ratings: DataFrame, targets: DataFrame, neighbours: DataFrame, k: int = NEIGHBOURS, unknown_item: float = UNKNOWN_ITEM) -> DataFrame:
@@ -72,21 +72,19 @@ def item_profiles(ratings: DataFrame) -> DataFrame:
 def build_features(cells: DataFrame, users: DataFrame, items: DataFrame, user_index: DataFrame, item_index: DataFrame) -> DataFrame:
     """The six features of each cell: both indexes (-1 if unknown), and average and count of both profiles (0 if unknown)."""
     rows = lookup(cells, user_index.withColumnRenamed("idx", "user_idx"), "user", {"user_idx": -1})
-    rows = lookup(rows, item_index.withColumnRenamed("idx", "item_idx"), "item", {"item_idx": -1})
     rows = lookup(rows, users, "user", {"user_avg": 0.0, "user_n": 0})
+    rows = lookup(rows, item_index.withColumnRenamed("idx", "item_idx"), "item", {"item_idx": -1})
     return lookup(rows, items, "item", {"item_avg": 0.0, "item_n": 0})
 
 
-def fit_regression(features: DataFrame, trees: int = 100, depth: int = 5, rate: float = 0.4, share: str = "0.1", seed: int = 0) -> GBTRegressionModel:
-    """Boosted regression trees on the squared error; ``share`` of the features is drawn at each node."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features)
-    return GBTRegressor(featuresCol="features", labelCol="stars", predictionCol="model", maxIter=trees, maxDepth=depth, stepSize=rate, featureSubsetStrategy=share, seed=seed, cacheNodeIds=False).fit(rows)
+def fit_regression(features: DataFrame, trees: int = 100, depth: int = 5, rate: float = 0.4, share: str = "0.1", seed: int = 0) -> boosting.BoostedTrees:
+    """Boosted regression trees on the squared error of all rows; ``share`` of the features is drawn at each node. ``features`` should be a written table."""
+    return boosting.fit(features, FEATURES, "stars", trees, depth, rate, share, seed)
 
 
-def predict_regression(model: GBTRegressionModel, features: DataFrame) -> DataFrame:
+def predict_regression(model: boosting.BoostedTrees, features: DataFrame) -> DataFrame:
     """``user, item, model`` for each cell; keys travel with the rows."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features)
-    return model.transform(rows).select("user", "item", "model")
+    return boosting.predict(model, features, ["user", "item"], "model")
 
 
 def blend_weight(n_neighbours: Column, high: float = 0.9, low: float = 0.1, cut: int = 50) -> Column:

@@ -176,20 +176,30 @@ def mb_features(spark, sf_dir):
     return rows.select("user", "item", "user_idx", "item_idx", F.round("user_avg", 6).alias("user_avg"), "user_n", F.round("item_avg", 6).alias("item_avg"), "item_n", F.round("stars", 6).alias("stars"))
 
 
-def _model_scores(spark, sf_dir) -> DataFrame:
-    model = recommend.fit_regression(materialize(_features(spark, sf_dir, test=False), "features"))
-    return recommend.predict_regression(model, _features(spark, sf_dir, test=True))
+def _model_scores(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Both parts have to be written tables."""
+    profiles = [materialize(f(train), "profiles") for f in (recommend.user_profiles, recommend.item_profiles)]
+    indexes = [dense_index(p.select(c), c) for p, c in zip(profiles, ("user", "item"), strict=True)]
+    rows = materialize(recommend.build_features(train, *profiles, *indexes), "features")
+    return recommend.predict_regression(recommend.fit_regression(rows), recommend.build_features(test, *profiles, *indexes))
+
+
+def _parts(spark, sf_dir) -> list[DataFrame]:
+    return [materialize(fx.ratings(spark, sf_dir, test=test), "ratings") for test in (False, True)]
 
 
 @query
 def mb_predict(spark, sf_dir):
-    return _model_scores(spark, sf_dir)
+    return _model_scores(*_parts(spark, sf_dir))
 
 
 @query
 def hybrid_predict(spark, sf_dir):
     """Item-based scores and those of the boosted trees, blended by the published rule; the trees are beyond SQL."""
-    return recommend.blend(_cf(spark, sf_dir), _model_scores(spark, sf_dir))
+    train, test = _parts(spark, sf_dir)
+    near = materialize(recommend.neighbour_table(train), "neighbours")
+    items = materialize(recommend.predict_ratings(train, test, near), "item-scores")
+    return recommend.blend(items, _model_scores(train, test))
 
 
 @query
