@@ -14,8 +14,8 @@ from orelode.llm.queries import CAPACITY, END_ID, tokenizer_path
 from orelode.llm.simhash import keep_one
 from orelode.llm.substring_dedup import drop_repeats
 
-#: Near-duplicates share at least so much of their sets of shingles of five words.
-NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Near-duplicates share at least so much of their sets of shingles of five words; fingerprints that link differ in so many bits at most.
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates, with all its columns: least doc_id (a null one last), then least digest of the text.
 
+    Candidates come from SimHash fingerprints, as in ``op10``, and from MinHash bands where these are too far apart; whole sets of shingles decide.
     Of rows with equal doc_id and text one stays; rows with equal doc_id and other texts are documents of their own. Null texts and texts
     without a word are near-duplicates of each other. No documents give none.
     """
-    return keep_one(docs, near_groups(docs, NEAR_WORDS, NEAR_SIMILARITY))
+    return keep_one(docs, near_groups(docs, NEAR_WORDS, NEAR_SIMILARITY, NEAR_DISTANCE))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

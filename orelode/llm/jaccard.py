@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: MinHash bands for candidates, whole sets to confirm links."""
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash and MinHash bands for candidates, whole sets to confirm links."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orelode.llm.common import materialize, slabs, small_batches, spread_join, text_hash
 from orelode.llm.sieve import key_sieve
-from orelode.llm.simhash import _roots, gather, shingle_digests
+from orelode.llm.simhash import _roots, digest_fingerprints, gather, near_links, shingle_digests
 from orelode.llm.spans import mix
 from orelode.operators.graph import component_roots
 
@@ -28,7 +28,11 @@ _NIBBLES = np.uint64(0x1111111111111111)
 
 def signatures(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the bands, four bits of each value, packed) of each text's MinHash values over its shingles."""
-    values, starts = shingle_digests(texts, words)
+    return digest_signatures(*shingle_digests(texts, words))
+
+
+def digest_signatures(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from what :func:`shingle_digests` gives."""
     full = np.nonzero(np.diff(starts))[0]
     seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     least = np.zeros((BANDS * ROWS, len(starts) - 1), dtype=np.uint64)
@@ -48,9 +52,11 @@ def signatures(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _signature_frames(words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slabs(frames, "text"):
-            keys, packed = signatures(part["text"], words)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "keys": list(keys.view(np.int64))} | {c: packed[:, k].view(np.int64) for k, c in enumerate(WORDS)})
+        for part in slabs(frames, "text", 250_000):
+            values, starts = shingle_digests(part["text"], words)
+            keys, packed = digest_signatures(values, starts)
+            fp = digest_fingerprints(values, starts)[:, 0].view(np.int64)
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "fp": fp, "keys": list(keys.view(np.int64))} | {c: packed[:, k].view(np.int64) for k, c in enumerate(WORDS)})
 
     return run
 
@@ -214,20 +220,35 @@ def confirm_groups(docs: DataFrame, groups: DataFrame, words: int, similarity: f
     return spread_join(named, lows, ["root"], "many").select("doc_id", "text_hash", "root", "component_id")
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(each: DataFrame, distance: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect texts (``node``, SimHash ``fp``) whose fingerprints are connected within ``distance`` bits; a fingerprint is a node too."""
+    fps = materialize(each.groupBy("fp").agg(F.count("*").alias("many")), "distinct-fingerprints")
+    near = materialize(near_links(fps, distance), "fingerprint-links")
+    linked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().withColumn("linked", F.lit(True))
+    some = materialize(fps.join(linked, "fp", "left").where("many > 1 or linked").select("fp", "many"), "linked-fingerprints")
+
+    def named(column: str):
+        return F.xxhash64(F.lit("fingerprint"), F.col(column))
+
+    stars = spread_join(each.select("node", "fp"), some, ["fp"], "many").select(F.col("node").alias("a"), named("fp").alias("b"))
+    return near.select(named("a").alias("a"), named("b").alias("b")).unionAll(stars)
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """``doc_id``, ``text_hash``, ``root`` and ``component_id`` of every row: components of all pairs at ``similarity`` or above.
 
-    Shingles are those of :func:`orelode.llm.simhash.simhash`, as sets. Texts that share a band and agree in enough MinHash values
-    are candidates; what candidates connect is compared by whole sets (:func:`confirm_groups`). The bands are set for 0.8 and above.
+    Shingles are those of :func:`orelode.llm.simhash.simhash`, as sets. Candidates are texts whose SimHash fingerprints are connected within ``distance``
+    bits, and for pairs further apart those that share a band and agree in enough MinHash values; what candidates connect is compared by
+    whole sets (:func:`confirm_groups`). The bands are set for 0.8 and above.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
-    schema = "doc_id long, text_hash long, keys array<long>, " + ", ".join(f"{c} long" for c in WORDS)
+    schema = "doc_id long, text_hash long, fp long, keys array<long>, " + ", ".join(f"{c} long" for c in WORDS)
     table = materialize(rows.mapInPandas(_signature_frames(words), schema), "signatures")
-    each = table.groupBy(F.col("text_hash").alias("node")).agg(F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in WORDS])
+    each = table.groupBy(F.col("text_hash").alias("node")).agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in WORDS])
     each = materialize(each, "distinct-texts")
     entries = each.select(F.explode("keys").alias("bucket"), "node", *WORDS)
     links = _dealt(entries, "bucket", BLOCK, each.count()).select("bucket", "pair", "node", *WORDS).mapInArrow(_bucket_links, "a long, b long")
-    roots = component_roots(links, "a", "b").select(F.col("node").alias("text_hash"), "root")
+    roots = component_roots(links.unionAll(fingerprint_links(each, distance)), "a", "b").select(F.col("node").alias("text_hash"), "root")
     groups = table.select("doc_id", "text_hash").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     return confirm_groups(docs, groups, words, similarity)

@@ -164,7 +164,7 @@ def _pieces(path: str, capacity: int, end_id: int, emit: str):
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         tokenizer = _tokenizers[path]
-        for part in slabs(frames, "text"):
+        for part in slabs(frames, "text", 250_000):
             ids, starts = tokenizer.encode(part["text"].tolist())
             rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], emit: []}
             for k, doc_id in enumerate(part["doc_id"]):

@@ -44,7 +44,11 @@ def shingle_digests(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(texts, words: int, tables: int = 1) -> np.ndarray:
     """The 64-bit SimHashes of each text (uint64, a column for each table): see :func:`simhash`."""
-    values, starts = shingle_digests(texts, words)
+    return digest_fingerprints(*shingle_digests(texts, words), tables)
+
+
+def digest_fingerprints(values: np.ndarray, starts: np.ndarray, tables: int = 1) -> np.ndarray:
+    """The same from what :func:`shingle_digests` gives."""
     out = np.zeros((len(starts) - 1, tables), dtype=np.uint64)
     sizes = np.diff(starts)
     full = np.nonzero(sizes)[0]
